@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup
+import public_tokenizers
+
+from weftline.llm import exact_dedup, packing
 
 
 def table(spark, d, name):
@@ -13,7 +15,11 @@ def op3_exact_dedup(spark, d):
     return exact_dedup.exact_duplicates(table(spark, d, "documents"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
+def op10_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op10_packing": op10_packing}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
