@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from weftline.llm import exact_dedup, ngram_join, packing
+from weftline.llm import exact_dedup, ngram_join, packing, toxicity
 
 
 def table(spark, d, name):
@@ -15,6 +15,10 @@ def op3_exact_dedup(spark, d):
     return exact_dedup.exact_duplicates(table(spark, d, "documents"))
 
 
+def op5_toxicity(spark, d):
+    return toxicity.score(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op8_ngram_join(spark, d):
     return ngram_join.similar(table(spark, d, "documents"))
 
@@ -23,7 +27,7 @@ def op10_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op5_toxicity": op5_toxicity, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
