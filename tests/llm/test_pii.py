@@ -1,0 +1,103 @@
+import hashlib
+import math
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from weftline.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def ok(kind, v):
+    d = re.sub("[^0-9]", "", v)
+    return {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in v.split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+
+def brute(text):
+    return [(k, m.start(), m.end()) for k in PLAIN for m in re.finditer(PLAIN[k], text or "") if ok(k, m[0])]
+
+
+def samples():
+    r = random.Random(4)
+    card = "4111 1111 1111 1111"
+    bits = ["a@b.c", "x@y", "_a@b.c-d", "a.b@c..d", "a@b.c_x@d.e", "1.2.3.4", "1.2.3.400", "001.2.3.0000255", "1.2.3.4.5.6.7.8", card, card.replace(" ", "-"), card + "1", "+1 (555) 123-4567", "+1((((", "+12", "é", "𝒳", "\n", " ", "word", "9", "@", "+", "..", "a" * 30 + "@", "1" * 40]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(400)]
+    return [*texts, None, "", "a" * 200_000 + "@", "9" * 100_000, "x@a" + ".a" * 50_000, ("mail a@b.co, " * 500)]
+
+
+def test_base_spans(spark):
+    texts = samples()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("_x", F.lit(1)).repartition(4)
+    got = {r.doc_id: r for r in pii.find(df, support=10**6).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = brute(t)
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert got[i].spans == line, t[:200]
+        assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in PLAIN] == [sum(w[0] == k for w in want) for k in PLAIN]
+
+
+def corpus():
+    r = random.Random(5)
+    common = [f"common{'abcdefgh'[i]}" for i in range(8)]
+    fill = lambda n: " ".join(r.choice(common) for _ in range(n))
+    docs = [(i, fill(20)) for i in range(200)]
+    docs += [(200 + i, f"{fill(3)} zorbex ann{i % 2}@x.org {fill(3)}") for i in range(6)]
+    docs += [(300, "zorbex alone"), (301, "copy hapaxword b@x.org end"), (302, "copy hapaxword b@x.org end"), (303, None), (None, "zorbex ann0@x.org"), (303, None)]
+    return docs
+
+
+def terms(t):
+    return [w for w in re.split(r"[^a-z]+", t.lower()) if len(w) >= 4]
+
+
+def test_telling_terms(spark):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    based = df.select(F.xxhash64("text", F.col("doc_id").cast("string")).alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_base", pii.base_spans(F.col("_text")))
+    got = {r.term: r.disclosure for r in pii.telling_terms(based, generalise=0.0).collect()}
+    windows, has, nt = {}, {}, {}
+    for i, t in docs:
+        t = t or ""
+        for w in set(terms(t)):
+            nt.setdefault(w, set()).add((i, t))
+        for k, a, b in brute(t):
+            e = t[a:b].lower()
+            has.setdefault(e, set()).add(t)
+            before, after = t[max(0, a - 80) : a], t[b : b + 80]
+            for w in set(terms(before) + terms(after)):
+                windows.setdefault((e, w), set()).add((before, after))
+    want, n = {}, len(docs)
+    for (e, w), x in windows.items():
+        if len(x) >= 2:
+            d = min(1.0, math.log2(len(x) * n / (len(nt[w]) * len(has[e]))) / math.log2(n / len(has[e])))
+            if d >= 0:
+                want[w] = max(want.get(w, 0.0), d)
+    assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+    assert "zorbex" in got and "hapaxword" not in got
+
+
+def test_sanitise(spark):
+    df = spark.createDataFrame([(i, t, len(t or ""), "k") for i, t in corpus()], "doc_id long, text string, n_chars long, term string")
+    out = pii.sanitise(df, generalise=0.5)
+    assert out.columns == df.columns and out.count() == df.count()
+    rows = out.collect()
+    alone = [r for r in rows if r.doc_id == 300]
+    assert alone[0].text in ("[TERM] alone", " alone") and alone[0].n_chars == len(alone[0].text)
+    assert [r.text for r in rows if r.doc_id == 301] == ["copy hapaxword [EMAIL] end"]
+    assert [r.text for r in rows if r.doc_id == 303] == [None, None]
+    assert pii.sanitise(df.limit(0)).count() == 0 == pii.find(df.limit(0)).count()
+    one = pii.sanitise(spark.createDataFrame([(1, "call +1 555 123 4567 now"), (2, "+4111 1111 1111 1111 1")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert one[0].text == "call [PHONE] now"

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from weftline.llm import exact_dedup, ngram_join, packing, toxicity
+from weftline.llm import exact_dedup, ngram_join, packing, pii, toxicity
 
 
 def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op2_pii(spark, d):
+    return pii.find(table(spark, d, "documents"))
+
+
 def op3_exact_dedup(spark, d):
     return exact_dedup.exact_duplicates(table(spark, d, "documents"))
 
@@ -27,7 +31,7 @@ def op10_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op5_toxicity": op5_toxicity, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
+QUERIES = {"op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op5_toxicity": op5_toxicity, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 

@@ -28,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Memo, crc_mod, text_of, written
@@ -46,6 +47,8 @@ QUOTES = re.compile("[\"“”„«»]|(?<!\\w)['‘]|['’](?!\\w)")
 PIECES = re.compile(r"[^\W_]+")
 OBSCURED = re.compile(r"[^\W_]*[@$0-9][\w@$]*")
 STEM_LENGTHS = (4, 5, 6, 7)
+#: Nats by which a term must beat chance, by documents and by places.
+MARGINS = (-1.0, 3.0)
 
 FEATURES = ("plain", "inexact", "quoted", "addressed", "density")
 PRIOR = np.array([6.0, 5.0, 2.0, 1.0, 0.0])
@@ -206,26 +209,69 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _telling(pos: Column, neg: Column, base: float) -> Column:
-    """Log-likelihood ratio of the term's counts against the share of toxic rows."""
+def _places(terms: list[tuple[str, bool]]):
+    """Where the terms stand: label, and the words before and after as a hash."""
+    known = set(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = [w.decode().lower() for w in text.as_py().encode().lower().split()]
+                for i, w in enumerate(words):
+                    for p in PIECES.findall(w):
+                        for t in [(p, False), *[(p[:n], True) for n in STEM_LENGTHS if len(p) > n]]:
+                            if t in known:
+                                found.add((*t, toxic, xxhash.xxh3_64_intdigest(" ".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2])) >> 1))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.bool_(), pa.int32(), pa.int64()), strict=True)], ["term", "is_stem", "toxic", "place"])
+
+    return run
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """With the least hash of five words in a row: near copies mostly have the same."""
+    for batch in batches:
+        out = []
+        for text in batch.column(0):
+            words = text.as_py().encode().lower().split()
+            out.append(min((xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 5])) >> 1 for i in range(max(1, len(words) - 4))), default=0))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], ["text", "toxic", "sketch"])
+
+
+def telling(pos: float, neg: float, base: float) -> float:
+    """Log-likelihood ratio of a term's counts against the share of toxic rows."""
     n = pos + neg
-    part = lambda x, share: F.when(x > 0, x * F.ln(x / (n * share))).otherwise(0.0)
-    return part(pos, base) + part(neg, 1 - base)
+    return sum(x * math.log(x / (n * share)) for x, share in ((pos, base), (neg, 1 - base)) if x)
 
 
 def lexicon(labelled: DataFrame) -> list[tuple[str, bool]]:
-    """Seeds and learned terms of labelled (text, toxic)."""
+    """Seeds and learned terms of labelled (text, toxic). A term must tell more than the
+    likeliest of all terms as frequent would by chance, both by documents (one of each
+    group of copies) and by the places where it stands."""
     seeds = [(s, False) for s in SEEDS]
-    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    single = written(labelled.mapInArrow(_sketched, "text string, toxic int, sketch long").dropDuplicates(["sketch", "toxic"]).select("text", "toxic"), "single")
+    sizes = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return seeds
     base = toxic / (toxic + clean)
-    counts = labelled.mapInArrow(_count, "term string, is_stem boolean, pos long, neg long").groupBy("term", "is_stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counts = written(counts.filter("pos + neg > 1"), "terms")
-    chance = math.log(max(counts.count(), 1)) + 3
-    told = counts.withColumn("llr", _telling(F.col("pos"), F.col("neg"), base)).filter((F.col("llr") >= chance) & (F.col("pos") >= (F.col("pos") + F.col("neg")) * max(0.5, 2 * base / (1 + base))))
-    found = told.orderBy(F.desc("llr"), "term", "is_stem").limit(MAX_TERMS).collect()
+    counts = single.mapInArrow(_count, "term string, is_stem boolean, pos long, neg long").groupBy("term", "is_stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = written(counts.filter("pos + neg > 1").withColumn("n", F.col("pos") + F.col("neg")), "terms")
+    frequent = {r["n"]: r["terms"] for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("terms")).collect()}  # at most as many as rows
+    above, at_least = 0, {}
+    for n in sorted(frequent, reverse=True):
+        above += frequent[n]
+        at_least[n] = above
+    llr = F.col("pos") * F.ln(F.col("pos") / (F.col("n") * base)) + F.when(F.col("neg") > 0, F.col("neg") * F.ln(F.col("neg") / (F.col("n") * (1 - base)))).otherwise(0.0)
+    precise = F.col("pos") >= F.col("n") * max(0.5, 2 * base / (1 + base))
+    likely = counts.filter((F.col("pos") > 2) & precise).withColumn("llr", llr).filter("llr > 4").orderBy(F.desc("llr"), "term", "is_stem").limit(MAX_TERMS).collect()
+    told = {(r["term"], r["is_stem"]): r["n"] for r in likely if r["llr"] >= math.log(at_least[r["n"]]) + MARGINS[0]}
+    if not told:
+        return seeds
+    places = single.mapInArrow(_places(sorted(told)), "term string, is_stem boolean, toxic int, place long").distinct()
+    at = places.groupBy("term", "is_stem").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).collect()
+    found = [r for r in at if telling(r["pos"], r["neg"], base) >= math.log(at_least[told[r["term"], r["is_stem"]]]) + MARGINS[1]]
     words = {r["term"]: r["pos"] for r in found if not r["is_stem"]}
     stems: dict[str, int] = {}
     for r in sorted((r for r in found if r["is_stem"]), key=lambda r: (-len(r["term"]), r["term"])):
@@ -245,12 +291,21 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     design = np.hstack([x, np.ones((len(x), 1))])
     mean, strength = np.append(PRIOR, PRIOR_BIAS), np.append(np.full(len(PRIOR), 1.0), 0.01)
     w = mean.copy()
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (strength * (w - mean) ** 2).sum())
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         grad = design.T @ (p - y) + strength * (w - mean)
         step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + np.diag(strength), grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while loss(w - size * step) > now and size > 1e-6:
+            size /= 2
+        w, before, now = w - size * step, now, loss(w - size * step)
+        if before - now < 1e-9:
             break
     return w
 
