@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from weftline.llm import exact_dedup, ngram_join, packing, pii, toxicity
+from weftline.llm import exact_dedup, ngram_join, packing, pii, toxicity, warc
 
 
 def table(spark, d, name):
@@ -19,6 +19,10 @@ def op3_exact_dedup(spark, d):
     return exact_dedup.exact_duplicates(table(spark, d, "documents"))
 
 
+def op4_warc(spark, d):
+    return warc.round_trip(table(spark, d, "pages"))
+
+
 def op5_toxicity(spark, d):
     return toxicity.score(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -31,7 +35,7 @@ def op10_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op5_toxicity": op5_toxicity, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
+QUERIES = {"op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
