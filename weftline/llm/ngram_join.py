@@ -270,7 +270,8 @@ def similar(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tol
     sizes = written(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
     who = near.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("comp"), "size")
     who = written(who.join(classes.select("key", "class_id", "class_size"), "key"), "members")
-    met = rows.join(who, rows["doc_id"].eqNullSafe(who["class_id"])).select("comp", "key", "class_size", "size", "text")
+    # by shuffle at every size: who grows with the documents
+    met = rows.join(who.hint("merge"), rows["doc_id"].eqNullSafe(who["class_id"])).select("comp", "key", "class_size", "size", "text")
     members = met.mapInArrow(_members(n), "comp binary, key binary, class_size long, size long, sig binary, shingles binary")
     blocks = F.ceil(F.col("size") / block).cast("int")
     members = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
