@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from weftline.llm import exact_dedup, lm, ngram_join, packing, pii, toxicity, warc
+from weftline.llm import exact_dedup, fingerprint, lm, ngram_join, packing, pii, toxicity, warc
 
 
 def table(spark, d, name):
@@ -27,6 +27,10 @@ def op5_toxicity(spark, d):
     return toxicity.score(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op6_fingerprint(spark, d):
+    return fingerprint.fingerprints(table(spark, d, "documents"))
+
+
 def op7_lm(spark, d):
     return lm.score(table(spark, d, "documents"))
 
@@ -39,7 +43,7 @@ def op10_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op7_lm": op7_lm, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
+QUERIES = {"op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op6_fingerprint": op6_fingerprint, "op7_lm": op7_lm, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
