@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, exact_dedup, fingerprint, lm, ngram_join, packing, pii, toxicity, warc
+from weftline.llm import chat, exact_dedup, fingerprint, lm, ngram_join, packing, pii, sentence_pieces, toxicity, warc
 
 
 def table(spark, d, name):
@@ -48,11 +48,15 @@ def op8_ngram_join(spark, d):
     return ngram_join.similar(table(spark, d, "documents"))
 
 
+def op9_sentence_pieces(spark, d):
+    return sentence_pieces.round_trip(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_packing(spark, d):
     return packing.pack(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op6_fingerprint": op6_fingerprint, "op7_lm": op7_lm, "op8_ngram_join": op8_ngram_join, "op10_packing": op10_packing}
+QUERIES = {"op1_chat": op1_chat, "op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op5_toxicity": op5_toxicity, "op6_fingerprint": op6_fingerprint, "op7_lm": op7_lm, "op8_ngram_join": op8_ngram_join, "op9_sentence_pieces": op9_sentence_pieces, "op10_packing": op10_packing}
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
