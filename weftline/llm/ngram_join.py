@@ -296,9 +296,9 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     doc_id; of repeated rows of that id and its words, one."""
     found = similar(docs, **how)
     keep = written(found.filter(F.col("doc_id").eqNullSafe(F.col("cluster_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "kept").withColumnRenamed("doc_id", "_id")
-    cols = docs.columns
-    met = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]))
-    single = met.filter("_n = 1").select(*cols)
-    words = F.filter(F.split(F.lower(text_of()), r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
-    repeated = met.filter("_n > 1").withColumn("_words", words).dropDuplicates(["_id", "_words"]).select(*cols)
-    return single.unionByName(repeated)
+    # in a struct, no column of docs can clash with one of these
+    rows = docs.select(F.struct("*").alias("_row"))
+    met = rows.join(keep, F.col("_row.doc_id").eqNullSafe(F.col("_id")))
+    words = F.filter(F.split(F.lower(text_of("_row.text")), r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
+    repeated = met.filter("_n > 1").withColumn("_words", words).dropDuplicates(["_id", "_words"])
+    return met.filter("_n = 1").select("_row").unionByName(repeated.select("_row")).select("_row.*")
