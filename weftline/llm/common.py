@@ -83,8 +83,10 @@ def components(edges: DataFrame, tag: str, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut(least)  # a table on one side lets a star of very many nodes be split in the join
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        small_least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(small_least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt = cut(small.unionByName(small_least.select("a", F.col("m").alias("b"))).filter("a != b").distinct())
         mark = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
