@@ -146,11 +146,11 @@ def drop_exact(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), f"{SPACE}+", " "), 256)
     kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     again = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    cols = docs.columns
-    tagged = docs.withColumn("_text_sha", sha)
-    on = lambda t: tagged["doc_id"].eqNullSafe(t["_id"]) & (tagged["_text_sha"] == t["_sha"])
-    once = kept.join(again, (kept["_id"].eqNullSafe(again["_id"])) & (kept["_sha"] == again["_sha"]), "left_anti")
-    twice = kept.join(again, (kept["_id"].eqNullSafe(again["_id"])) & (kept["_sha"] == again["_sha"]), "left_semi")
-    single = tagged.join(once, on(once), "left_semi").select(*cols)
-    repeated = tagged.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "_text_sha"]).select(*cols)
-    return single.unionByName(repeated)
+    # in a struct, no column of docs can clash with one of these
+    tagged = docs.select(F.struct("*").alias("_row"), sha.alias("_text_sha"))
+    on = lambda t: F.col("_row.doc_id").eqNullSafe(t["_id"]) & (F.col("_text_sha") == t["_sha"])
+    same = lambda how: kept.join(again, kept["_id"].eqNullSafe(again["_id"]) & (kept["_sha"] == again["_sha"]), how)
+    once, twice = same("left_anti"), same("left_semi")
+    single = tagged.join(once, on(once), "left_semi").select("_row")
+    repeated = tagged.join(twice, on(twice), "left_semi").withColumn("_id2", F.col("_row.doc_id")).dropDuplicates(["_id2", "_text_sha"]).select("_row")
+    return single.unionByName(repeated).select("_row.*")

@@ -82,5 +82,16 @@ ORACLE_SQL = {
     "op3_exact_dedup": f"""
         select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
                doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
-        from (select doc_id, {_NORMAL} as t from documents)"""
+        from (select doc_id, {_NORMAL} as t from documents)""",
+    # digests in base 32: each digit is five bits out of three hexadecimal ones
+    "op4_warc": """
+        with b as (select page_id, coalesce(html, '') as t from pages),
+        m as (select page_id, octet_length(encode(t)) as n, sha1(t) || '00' as d, max(page_id) over (partition by t) as keep from b)
+        select page_id, cast(n as bigint) as payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((cast('0x' || substr(d, 1 + cast(5 * i // 4 as integer), 3) as integer) >> cast(7 - 5 * i % 4 as integer)) & 31), 1)), '') as payload_digest,
+               case when keep = page_id then 'response' else 'revisit' end as record_type,
+               case when keep <> page_id then keep end as refers_to,
+               cast(case when keep <> page_id then 1 else greatest(1, ceil(n / 262144.0)) end as integer) as chunks
+        from m""",
 }

@@ -341,8 +341,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     n = known.count()
     if n > fit_rows:  # a share by hash
         known = known.filter(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
+    # about fit_rows pairs of numbers go to all tasks
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), text_of().alias("text"))
-    labelled = written(texts.join(known, F.col("_doc") == F.col("_id")).select("text", "toxic"), "labelled")
+    labelled = written(texts.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("text", "toxic"), "labelled")
     terms = lexicon(labelled)
     rows = labelled.mapInArrow(_features(terms), "x array<double>, toxic int").collect()  # about fit_rows at most
     if not rows:
