@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftline.apps import workloads
 from weftline.functions import compat
 from weftline.operators.dataset import Dataset
-from weftline.plans.shapes import count_by_key, map_reduce
+from weftline.plans.shapes import map_reduce
 from weftline.session import Session
 
 

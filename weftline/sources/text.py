@@ -7,7 +7,6 @@ from __future__ import annotations
 import gzip
 import io
 import urllib.request
-import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
