@@ -3,7 +3,8 @@ r"""WARC archives written and read back as a table of record chunks.
 Writing: payloads are compared by length and digest; of equal ones that with the largest
 page_id becomes a response record, the others revisit it. Spark's text writer puts the
 records out, CRLF CRLF being the end of a line to it, so that archives are written in
-parallel, committed by task and safe to retry on any file system that Spark knows.
+parallel, gzipped, committed by task and safe to retry on any file system that Spark
+knows.
 
 Reading: one task for each archive streams it and yields a row for each chunk of a
 payload: record, chunk number, bytes, the SHA-1 of all bytes up to there. Neither side
@@ -89,7 +90,7 @@ def _record(r: DataFrame) -> Column:
 def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """The pages as archives in a folder."""
     rows = records(pages, min_bytes)
-    rows.select(_record(rows).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    rows.select(_record(rows).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 class Stream:
