@@ -69,13 +69,13 @@ def test_telling_terms(spark):
     based = df.select(F.xxhash64("text", F.col("doc_id").cast("string")).alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_base", pii.base_spans(F.col("_text")))
     got = {r.term: r.disclosure for r in pii.telling_terms(based, generalise=0.0).collect()}
     windows, has, nt = {}, {}, {}
-    for i, t in docs:
+    for row, (_, t) in enumerate(docs):
         t = t or ""
         for w in set(terms(t)):
-            nt.setdefault(w, set()).add((i, t))
-        for k, a, b in brute(t):
+            nt.setdefault(w, set()).add(row)
+        for _, a, b in brute(t):
             e = t[a:b].lower()
-            has.setdefault(e, set()).add(t)
+            has.setdefault(e, set()).add(row)
             before, after = t[max(0, a - 80) : a], t[b : b + 80]
             for w in set(terms(before) + terms(after)):
                 windows.setdefault((e, w), set()).add((before, after))

@@ -2,7 +2,7 @@ r"""Personal data: patterns, and terms that give protected entities away.
 
 Base spans are e-mail and IP addresses, card and phone numbers. Their distinct values
 are the protected entities. How strongly a term reveals an entity is estimated from the
-whole corpus: with n(t) documents that have the term, n(e) that have the entity and
+whole corpus: with n(t) rows that have the term, n(e) that have the entity and
 n(t, e) different windows in which both stand, the pointwise mutual information
 log2(n(t,e) N / (n(t) n(e))) over the entity's information log2(N / n(e)) is 1 for a term
 that gives the entity away wholly, about 0 for one that tells nothing. Terms from the
@@ -113,11 +113,12 @@ def telling_terms(based: DataFrame, reach: int = REACH, support: int = SUPPORT,
     if not size:
         return met.select("term", F.lit(0.0).alias("disclosure"))
     candidates = met.select("term").distinct()
-    words = based.select("_id", F.explode(_terms(F.col("_text"))).alias("term"))
-    found = words.join(F.broadcast(candidates), "term") if size <= BROADCAST_TERMS else words.join(candidates, "term")
-    df = found.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
-    has = some.join(met.select(F.col("e")).distinct(), F.xxhash64(entity) == F.col("e")).select("e", F.xxhash64("_text").alias("d"))
-    ne = has.distinct().groupBy("e").agg(F.count(F.lit(1)).alias("ne"))
+    # a document's different words, so that counts are partial sums and no (document, term) pairs move
+    words = based.select(F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term"))
+    found = words.join(F.broadcast(candidates), "term") if size <= BROADCAST_TERMS else words.groupBy("term").agg(F.count(F.lit(1)).alias("part")).join(candidates, "term")
+    df = found.groupBy("term").agg((F.count(F.lit(1)) if size <= BROADCAST_TERMS else F.sum("part")).alias("nt"))
+    has = based.filter(F.size("_base") > 0).select(F.explode(F.array_distinct(F.transform("_base", lambda x: F.xxhash64(_entity(x))))).alias("e"))
+    ne = has.groupBy("e").agg(F.count(F.lit(1)).alias("ne"))
     scored = met.join(df, "term").join(ne, "e")
     pmi = F.log2(F.col("both") * F.lit(total) / (F.col("nt") * F.col("ne")))
     information = F.log2(F.lit(total) / F.col("ne"))
@@ -126,9 +127,10 @@ def telling_terms(based: DataFrame, reach: int = REACH, support: int = SUPPORT,
 
 
 def annotated(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """docs with _text and two more columns: _base and _more, the spans of either sort."""
-    # the same text twice is one document to every count: ids may repeat or be null
-    based = docs.withColumn("_text", text_of()).withColumn("_base", base_spans(F.col("_text"))).withColumn("_id", F.xxhash64("_text", F.col("doc_id").cast("string")))
+    """_row (the row of docs), _text, and _base and _more, the spans of either sort."""
+    # in a struct, no column of docs can clash with one of these
+    based = docs.select(F.struct("*").alias("_row"), text_of().alias("_text"))
+    based = based.withColumn("_base", base_spans(F.col("_text"))).withColumn("_id", F.xxhash64("_text", F.col("_row.doc_id").cast("string")))
     narrow = based.select("_id", "_text", "_base")
     telling = telling_terms(narrow, reach, support, generalise)
     n = telling.count()
@@ -157,7 +159,7 @@ def find(docs: DataFrame, **how) -> DataFrame:
     got = annotated(docs.select("doc_id", "text"), **how)
     of = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
     terms = F.transform("_more", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return got.select("doc_id", *[of(k).alias(f"n_{k}") for k in KINDS], F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.concat("_base", terms)).alias("spans"), F.size("_more").cast("long").alias("n_terms"))
+    return got.select("_row.doc_id", *[of(k).alias(f"n_{k}") for k in KINDS], F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.concat("_base", terms)).alias("spans"), F.size("_more").cast("long").alias("n_terms"))
 
 
 def sanitise(docs: DataFrame, **how) -> DataFrame:
@@ -175,7 +177,7 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], cut(acc["at"], F.length("_text") - acc["at"])))
     changed = F.size("_base") + F.size("_more") > 0
-    cols = {"text": F.when(changed, clean).otherwise(F.col("text"))}
+    cols = {"text": F.when(changed, clean).otherwise(F.col("_row.text"))}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(changed, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return got.select(*[cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns])
+        cols["n_chars"] = F.when(changed, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return got.select(*[cols[c].alias(c) if c in cols else F.col(f"_row.`{c}`") for c in docs.columns])
