@@ -9,7 +9,7 @@ together with its t. Two texts agree on a sample with a probability of the sum o
 terms' lesser weights over that of the greater ones: the generalised Jaccard similarity.
 
 All of it is generated code over one row per document and different term: logarithms,
-hashes and a minimum of 64-bit keys (ln a above, (term, t) below) for each sample. The
+hashes and a minimum of 64-bit keys for each sample. The
 documents are dealt out by ranges of doc_id once; a copy of the first document of the
 range below joins each range, so that the next document is there without a global sort.
 The ranges' terms are summed where they are.
@@ -48,19 +48,16 @@ def _runs(hashed: str) -> Column:
 
 
 def sample_key(h: Column, log_weight: Column, k: int) -> Column:
-    """ln a in the upper 41 bits, a hash of (term, t) in the lower 23."""
-    x1 = F.xxhash64(h, F.lit(3 * k))
-    x2 = F.xxhash64(h, F.lit(3 * k + 1))
-    x3 = F.xxhash64(h, F.lit(3 * k + 2))
-    low = lambda x: (x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("double") + 0.5) / float(1 << 31)
-    high = lambda x: (F.shiftrightunsigned(x, 33).cast("double") + 0.5) / float(1 << 31)
-    r = -F.ln(low(x1) * high(x1))
-    ln_c = F.ln(-F.ln(low(x2) * high(x2)))
-    b = low(x3)
-    t = F.floor(log_weight / r + b)
-    ln_a = ln_c - r * (t.cast("double") - b) - r
-    scaled = F.floor((ln_a + 128.0) * float(1 << 32))
-    return F.shiftleft(scaled, 23).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit(0x7FFFFF)))
+    """ln a in the upper 41 bits (it tells terms and t apart), bits of the term in the
+    lower 23. Three uniform numbers come from each hash."""
+    x1, x2 = F.xxhash64(h, F.lit(2 * k)), F.xxhash64(h, F.lit(2 * k + 1))
+    part = lambda x, n: (F.shiftrightunsigned(x, n).bitwiseAND(F.lit(0x1FFFFF)).cast("double") + 0.5) / float(1 << 21)
+    r = -F.ln(part(x1, 0) * part(x1, 21))
+    ln_c = F.ln(-F.ln(part(x2, 0) * part(x2, 21)))
+    b = part(x1, 42)
+    t = F.floor(log_weight / r + b).cast("double")
+    ln_a = ln_c - r * (t - b + 1.0)
+    return F.shiftleft(F.floor((ln_a + 128.0) * float(1 << 32)), 23).bitwiseOR(F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(0x7FFFFF)))
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
