@@ -101,3 +101,12 @@ def test_sanitise(spark):
     assert pii.sanitise(df.limit(0)).count() == 0 == pii.find(df.limit(0)).count()
     one = pii.sanitise(spark.createDataFrame([(1, "call +1 555 123 4567 now"), (2, "+4111 1111 1111 1111 1")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert one[0].text == "call [PHONE] now"
+
+
+def test_copies_hide_no_term(spark):
+    r = random.Random(7)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(8)) for _ in range(200)]
+    texts += ["see qqzorb at ann@x.org today"] * 40 + ["now qqzorb wrote ann@x.org again"] * 40 + [None] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x for x in pii.find(df).collect()}
+    assert len(got) == len(texts) and all(got[i].n_terms == int(200 <= i < 280) for i in got)

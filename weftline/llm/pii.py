@@ -2,8 +2,8 @@ r"""Personal data: patterns, and terms that give protected entities away.
 
 Base spans are e-mail and IP addresses, card and phone numbers. Their distinct values
 are the protected entities. How strongly a term reveals an entity is estimated from the
-whole corpus: with n(t) rows that have the term, n(e) that have the entity and
-n(t, e) different windows in which both stand, the pointwise mutual information
+whole corpus: with n(t) of N different texts that have the term, n(e) that have the
+entity and n(t, e) different windows in which both stand, the pointwise mutual information
 log2(n(t,e) N / (n(t) n(e))) over the entity's information log2(N / n(e)) is 1 for a term
 that gives the entity away wholly, about 0 for one that tells nothing. Terms from the
 first threshold on are generalised to a class, from the second on removed, wherever they
@@ -11,14 +11,16 @@ stand.
 
 Everything is DataFrame expressions: a pattern's matches and the text between them
 (extracting and splitting by the same pattern) give the places of the matches, in code
-points. Patterns are possessive and begin where a run begins, so that no long run of
+points. Texts that repeat are found by their hashes, and only their first copies move.
+Patterns are possessive and begin where a run begins, so that no long run of
 letters or digits takes more than linear time; what they match is what the plain
 patterns match. Windows of hot entities are counted by different windows and partial
 sums; a candidate list is broadcast only below a checked size, else joined by shuffle.
 
 Defined results: null text counts as empty and has no spans (sanitise leaves it null).
 Repeated rows get the same spans; a null doc_id is a row like any other. Copies of a
-window count once, so that copying alone makes no term telling. Without entities no term
+text count once in each of the four counts, so that copying alone makes no term telling
+and hides none. Without entities no term
 is flagged. Of the other columns only n_chars is touched, and by sanitise alone, to
 count the new text. An empty table gives an empty result."""
 
@@ -100,7 +102,7 @@ def _terms(text: Column) -> Column:
 
 
 def telling_terms(based: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """term and disclosure of the terms at or above the threshold. based: _text, _base of every document."""
+    """term and disclosure of the terms at or above the threshold. based: _text, _base of every document; each row counts."""
     total = based.count()
     some = based.filter(F.size("_base") > 0).select("_text", F.explode("_base").alias("span"))
     entity = _entity(F.col("span"))
@@ -126,13 +128,25 @@ def telling_terms(based: DataFrame, reach: int = REACH, support: int = SUPPORT,
     return written(scored.groupBy("term").agg(F.max(share).alias("disclosure")).filter(F.col("disclosure") >= generalise), "telling")
 
 
+def different(based: DataFrame) -> DataFrame:
+    """_text and _base, once for each different text."""
+    rows = based.select(F.xxhash64("_text").alias("d"), "_text")
+    copied = written(rows.groupBy("d").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("d"), "copied")
+    first = lambda df: written(df.groupBy("d").agg(F.first("_text").alias("_text")).select("_text"), "first").withColumn("_base", base_spans(F.col("_text")))
+    if copied.count() > BROADCAST_TERMS:
+        return first(rows)
+    known = F.broadcast(copied)
+    single = based.select("_text", "_base", F.xxhash64("_text").alias("d")).join(known, "d", "left_anti").select("_text", "_base")
+    return single.unionByName(first(rows.join(known, "d", "left_semi")))
+
+
 def annotated(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """_row (the row of docs), _text, and _base and _more, the spans of either sort."""
     # in a struct, no column of docs can clash with one of these
     based = docs.select(F.struct("*").alias("_row"), text_of().alias("_text"))
     based = based.withColumn("_base", base_spans(F.col("_text"))).withColumn("_id", F.xxhash64("_text", F.col("_row.doc_id").cast("string")))
     narrow = based.select("_id", "_text", "_base")
-    telling = telling_terms(narrow, reach, support, generalise)
+    telling = telling_terms(different(narrow), reach, support, generalise)
     n = telling.count()
     none = F.array().cast("array<struct<kind:string,start:long,end:long,value:string>>")
     if not n:
