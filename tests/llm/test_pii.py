@@ -110,3 +110,12 @@ def test_copies_hide_no_term(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {x.doc_id: x for x in pii.find(df).collect()}
     assert len(got) == len(texts) and all(got[i].n_terms == int(200 <= i < 280) for i in got)
+
+
+def test_terms_far_from_the_entity(spark):
+    r = random.Random(8)
+    fill = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    texts = [fill(8) for _ in range(200)] + [f"qqzorb {fill(60)} ann@x.org {fill(5)}" for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.n_terms for x in pii.find(df).collect()}
+    assert all(got[i] == int(i >= 200) for i in got)

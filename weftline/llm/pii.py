@@ -3,7 +3,7 @@ r"""Personal data: patterns, and terms that give protected entities away.
 Base spans are e-mail and IP addresses, card and phone numbers. Their distinct values
 are the protected entities. How strongly a term reveals an entity is estimated from the
 whole corpus: with n(t) of N different texts that have the term, n(e) that have the
-entity and n(t, e) different windows in which both stand, the pointwise mutual information
+entity and n(t, e) in which both stand, wherever that is, the pointwise mutual information
 log2(n(t,e) N / (n(t) n(e))) over the entity's information log2(N / n(e)) is 1 for a term
 that gives the entity away wholly, about 0 for one that tells nothing. Terms from the
 first threshold on are generalised to a class, from the second on removed, wherever they
@@ -14,8 +14,7 @@ Everything is DataFrame expressions: a pattern's matches and the text between th
 points. Texts that repeat are found by their hashes, and only their first copies move.
 Patterns are possessive and begin where a run begins, so that no long run of
 letters or digits takes more than linear time; what they match is what the plain
-patterns match. Windows of hot entities are counted by different windows and partial
-sums; a candidate list is broadcast only below a checked size, else joined by shuffle.
+patterns match. Terms of hot entities are counted by partial sums; a candidate list is broadcast only below a checked size, else joined by shuffle.
 
 Defined results: null text counts as empty and has no spans (sanitise leaves it null).
 Repeated rows get the same spans; a null doc_id is a row like any other. Copies of a
@@ -45,11 +44,9 @@ HINTS = {
     "card": lambda t: F.regexp_like(t, F.lit(r"[0-9](?:[\x20-]?[0-9]){15}")),
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
-#: Code points on either side of an entity in which terms are looked at.
-REACH = 80
 TERM = r"\p{L}+"
 LEAST_LETTERS = 4
-#: Different windows that a term must share with an entity to be judged.
+#: Different texts that a term must share with an entity to be judged.
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 #: Candidate terms up to which their list is broadcast (16 bytes each).
@@ -101,15 +98,24 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+", -1), lambda w: F.length(w) >= LEAST_LETTERS)
 
 
-def telling_terms(based: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def telling_terms(based: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """term and disclosure of the terms at or above the threshold. based: _text, _base of every document; each row counts."""
     total = based.count()
-    some = based.filter(F.size("_base") > 0).select("_text", F.explode("_base").alias("span"))
-    entity = _entity(F.col("span"))
-    before = F.expr(f"substring(_text, cast(greatest(span.start - {reach}, 0) as int) + 1, cast(least(span.start, {reach}) as int))")
-    after = F.expr(f"substring(_text, cast(span.end as int) + 1, {reach})")
-    seen = some.select(F.xxhash64(entity).alias("e"), F.xxhash64(before, after).alias("w"), F.explode(F.array_distinct(F.concat(_terms(before), _terms(after)))).alias("term"))
-    met = seen.groupBy("e", "term", "w").agg(F.lit(1).alias("one")).groupBy("e", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
+    # of an e-mail address also the value, which alone has letters
+    entities = F.array_distinct(F.transform("_base", lambda x: F.struct(F.xxhash64(_entity(x)).alias("e"), F.when(x["kind"] == "email", F.lower(x["value"])).otherwise("").alias("value"))))
+    some = based.filter(F.size("_base") > 0)
+    has = some.select(F.explode(F.array_distinct(F.transform("_base", lambda x: F.xxhash64(_entity(x))))).alias("e"))
+    ne = written(has.groupBy("e").agg(F.count(F.lit(1)).alias("ne")), "entities")
+    # an entity of fewer documents than support shares no term in as many: exact, and most go here
+    shared = ne.filter(F.col("ne") >= support).select("e")
+    few = shared.count() <= BROADCAST_TERMS
+    texts = some.groupBy(F.xxhash64("_text").alias("d")).agg(F.first("_text").alias("_text"), F.first(entities).alias("found"))
+    each = texts.select("_text", F.explode("found").alias("x")).select("_text", F.col("x.e").alias("e"), F.col("x.value").alias("value"))
+    each = each.join(F.broadcast(shared) if few else shared, "e")
+    # terms of the whole document beside the entity itself
+    beside = F.replace(F.lower("_text"), F.col("value"), F.lit(" "))
+    seen = each.select("e", F.explode(F.array_distinct(_terms(beside))).alias("term"))
+    met = seen.groupBy("e", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
     met = written(met, "met")
     size = met.select("term").distinct().count()
     if not size:
@@ -119,8 +125,6 @@ def telling_terms(based: DataFrame, reach: int = REACH, support: int = SUPPORT,
     words = based.select(F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term"))
     found = words.join(F.broadcast(candidates), "term") if size <= BROADCAST_TERMS else words.groupBy("term").agg(F.count(F.lit(1)).alias("part")).join(candidates, "term")
     df = found.groupBy("term").agg((F.count(F.lit(1)) if size <= BROADCAST_TERMS else F.sum("part")).alias("nt"))
-    has = based.filter(F.size("_base") > 0).select(F.explode(F.array_distinct(F.transform("_base", lambda x: F.xxhash64(_entity(x))))).alias("e"))
-    ne = has.groupBy("e").agg(F.count(F.lit(1)).alias("ne"))
     scored = met.join(df, "term").join(ne, "e")
     pmi = F.log2(F.col("both") * F.lit(total) / (F.col("nt") * F.col("ne")))
     information = F.log2(F.lit(total) / F.col("ne"))
@@ -140,13 +144,13 @@ def different(based: DataFrame) -> DataFrame:
     return single.unionByName(first(rows.join(known, "d", "left_semi")))
 
 
-def annotated(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def annotated(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """_row (the row of docs), _text, and _base and _more, the spans of either sort."""
     # in a struct, no column of docs can clash with one of these
     based = docs.select(F.struct("*").alias("_row"), text_of().alias("_text"))
     based = based.withColumn("_base", base_spans(F.col("_text"))).withColumn("_id", F.xxhash64("_text", F.col("_row.doc_id").cast("string")))
     narrow = based.select("_id", "_text", "_base")
-    telling = telling_terms(different(narrow), reach, support, generalise)
+    telling = telling_terms(different(narrow), support, generalise)
     n = telling.count()
     none = F.array().cast("array<struct<kind:string,start:long,end:long,value:string>>")
     if not n:
