@@ -65,3 +65,34 @@ def test_learns_and_holds_out(spark):
     assert toxicity.score(d.limit(0), y.limit(0)).count() == 0
     assert toxicity.score(spark.createDataFrame([(1, "you idiot"), (2, "fine")], "doc_id long, text string"), y.limit(0)).orderBy("doc_id").select("predicted").collect() == [(1,), (0,)]
     assert d.filter(F.col("text").isNull()).count() == 1
+
+
+def test_edits_of_first_letters_and_stems():
+    terms = [("idiot", False), ("disgusting", False), ("zork", True), ("lowei", True)]
+    own = toxicity.Automaton(terms)
+    r = random.Random(3)
+    for _ in range(4000):
+        t = list(r.choice(terms)[0] + r.choice(["", "xen", "o"]))
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(t) + 1)
+            t[i : i + r.randint(0, 1)] = r.choice(["", "x", "o", "z"])
+        token = "".join(t)
+        far = {w: min(edit(token[:n], w) for n in range(len(token) + 1)) if stem else edit(token, w) for w, stem in terms}
+        want = min((e for w, e in far.items() if e <= toxicity.edits_for(len(w))), default=None)
+        got = own.match(token)
+        assert (got and got[1]) == want and (got is None or far[got[0]] == want), token
+
+
+def test_misspelt_words_of_learned_stems(spark):
+    r = random.Random(2)
+    rows = []
+    for i in range(400):
+        words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(30)]
+        if i % 4 == 0:
+            words[3] = "zork" + ["en", "ing", "est"][i // 4 % 3]
+        rows.append((" ".join(words), int(i % 4 == 0)))
+    terms = toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    own = toxicity.Automaton(terms)
+    assert ("zork", True) in terms
+    assert all(own.match(w)[1] == 0 for w in ("zorken", "zorking", "zorkest", "zorkish"))
+    assert all(own.match(w)[1] == 1 for w in ("zokest", "zirken", "xorking"))

@@ -5,7 +5,8 @@ labelled rows teach: terms whose counts in toxic and clean documents differ by m
 chance among so many terms would give. It is a trie; the automata of all its words are
 run on it at once, as sets of (node, edits) whose moves are determined when first
 needed, so that a token costs one look-up for each letter. Words of five letters may
-be one edit off, of nine two; the first letter and stems must be right.
+be one edit off, of nine two, the first letter included; so may the beginning that is held
+against a stem.
 
 Each hit is weighed by its window: inside quotation marks or near words of reporting it
 is a quotation, near words of address it is abuse. A logistic regression over the
@@ -70,7 +71,7 @@ class Automaton:
         self.allowed = [0]
         self.bound = bound
         for term, is_stem in terms:
-            node, k = 0, 0 if is_stem else edits_for(len(term))
+            node, k = 0, edits_for(len(term))
             for ch in term:
                 self.allowed[node] = max(self.allowed[node], k)
                 if ch not in self.children[node]:
@@ -89,7 +90,7 @@ class Automaton:
         self.moves: list[dict[str, int]] = []
         self.sets: list[frozenset] = []
         self.ends: list[tuple[str, int] | None] = []
-        self.stems: list[str | None] = []
+        self.stems: list[tuple[str, int] | None] = []
         self.start = self._state({(0, 0)})
 
     def _state(self, positions: set[tuple[int, int]]) -> int:
@@ -99,8 +100,7 @@ class Automaton:
             if (node, e) in closed or e > self.allowed[node]:
                 continue
             closed.add((node, e))
-            if node:
-                todo += [(c, e + 1) for c in self.children[node].values()]
+            todo += [(c, e + 1) for c in self.children[node].values()]
         best: dict[int, int] = {}
         for node, e in closed:
             best[node] = min(e, best.get(node, e))
@@ -111,20 +111,16 @@ class Automaton:
             self.moves.append({})
             ends = sorted((e, self.word[n]) for n, e in key if self.word[n] and e <= edits_for(len(self.word[n])))
             self.ends.append((ends[0][1], ends[0][0]) if ends else None)
-            stems = sorted((self.stem[n] for n, e in key if self.stem[n] and e == 0), key=len)
-            self.stems.append(stems[-1] if stems else None)
+            stems = sorted((e, -len(self.stem[n]), self.stem[n]) for n, e in key if self.stem[n] and e <= edits_for(len(self.stem[n])))
+            self.stems.append((stems[0][2], stems[0][0]) if stems else None)
         return self.ids[key]
 
     def _move(self, state: int, ch: str) -> int:
         out = set()
         for node, e in self.sets[state]:
             for c, child in self.children[node].items():
-                if c == ch:
-                    out.add((child, e))
-                elif node:
-                    out.add((child, e + 1))
-            if node:
-                out.add((node, e + 1))
+                out.add((child, e + (c != ch)))
+            out.add((node, e + 1))
         return self._state(out)
 
     def match(self, token: str) -> tuple[str, int] | None:
@@ -136,11 +132,13 @@ class Automaton:
             if ch not in moves:
                 moves[ch] = self._move(state, ch)
             state = moves[ch]
-            stem = self.stems[state] or stem
+            met = self.stems[state]
+            if met and (not stem or met[1] <= stem[1]):
+                stem = met
             if not self.sets[state]:
-                return (stem, 0) if stem else None
+                return stem
         end = self.ends[state]
-        return (stem, 0) if stem and not (end and end[1] == 0) else end
+        return end if end and (not stem or end[1] <= stem[1]) else stem
 
 
 class Scorer:
@@ -282,8 +280,8 @@ def lexicon(labelled: DataFrame) -> list[tuple[str, bool]]:
         for s in [s for s in stems if s.startswith(stem)]:
             del stems[s]
         stems[stem] = n
-    kept = [w for w in words if not any(w.startswith(s) for s in stems)]
-    return sorted(set(seeds) | {(w, False) for w in kept} | {(s, True) for s in stems})
+    # words stay beside the stems they begin with: they have edits of their own
+    return sorted(set(seeds) | {(w, False) for w in words} | {(s, True) for s in stems})
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
