@@ -58,3 +58,12 @@ def test_shares_and_empty(spark):
     assert packing.pack(df.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, PATH, 32, 2, {"a": 1})
+
+
+@pytest.mark.parametrize("shares", [None, {f"s{i}": 1 + i % 3 / 7 for i in range(9)}])
+def test_many_sources_are_queues_of_their_own(spark, shares):
+    docs = [(i, "word " * (1 + i % 13), f"s{i * i % 31 % 9}") for i in range(90)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5, "doc_id")
+    shares = shares and {s: shares[s] for _, _, s in docs}
+    few, many = (sorted(map(tuple, packing.pack(df, PATH, 16, 2, shares, bound).collect())) for bound in (256, 2))
+    assert many == few and {r[7] for r in many} == {f"={s}" for _, _, s in docs}

@@ -12,8 +12,10 @@ another without gaps and are cut into sequences; only the last has padding.
 A first pass writes each document's ids; the queues' lengths per task (a row for each
 task and source) are added up; a second pass cuts the pieces.
 
-Sources are queues of their own while there are at most max_queues of them; the rest
-share max_queues queues by hash (all documents are packed all the same).
+Every source is a queue of its own. Up to max_queues of them are known to all tasks. The
+parts that more of them have in the windows are a table (as many rows as a packing has
+pieces, at most), whose places are sums along its order by window and source, and which
+documents meet by source and window; the pieces are the same.
 
 Defined results: null text is empty and has just the end id; a null source is a source
 of its own; repeated rows are packed each; other columns are not read; an empty table
@@ -38,6 +40,7 @@ SEQUENCE = 2048
 #: Proportions hold in windows of so many sequences; documents are cut less than in windows of one.
 WINDOW = 64
 END_ID = 1
+#: Queues up to which all tasks hold their totals and shares.
 MAX_QUEUES = 256
 #: Longer texts are split into so many words at a time.
 BYTES_AT_ONCE = 1_000_000
@@ -121,6 +124,21 @@ def _encode(path: str):
     return run
 
 
+def _sent(share: Fraction, total: int, size: int, w: int) -> int:
+    """What a queue has sent before window w."""
+    return min(total, share.numerator * size * w // share.denominator)
+
+
+def _window_of(share: Fraction, total: int, size: int, pos: int) -> int:
+    """The window in which a queue sends its token at pos."""
+    w = pos * share.denominator // (share.numerator * size)
+    while _sent(share, total, size, w + 1) <= pos:
+        w += 1
+    while _sent(share, total, size, w) > pos:
+        w -= 1
+    return w
+
+
 def _cut(queues: list[str], shares: list[Fraction], totals: list[int], window: int, sequence: int):
     """Pieces of documents whose place in their queue is known."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("source", pa.string()), ("window", pa.int64())])
@@ -129,8 +147,7 @@ def _cut(queues: list[str], shares: list[Fraction], totals: list[int], window: i
 
     def sent(i: int, w: int) -> int:
         """What queue i has sent before window w."""
-        share, total = each[i]
-        return min(total, share.numerator * window * w // share.denominator)
+        return _sent(*each[i], window, w)
 
     places: dict[int, tuple[list[int], list[int]]] = {}
 
@@ -148,13 +165,7 @@ def _cut(queues: list[str], shares: list[Fraction], totals: list[int], window: i
         return places[w]
 
     def window_of(i: int, pos: int) -> int:
-        share = each[i][0]
-        w = pos * share.denominator // (share.numerator * window)
-        while sent(i, w + 1) <= pos:
-            w += 1
-        while sent(i, w) > pos:
-            w -= 1
-        return w
+        return _window_of(*each[i], window, pos)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +191,83 @@ def _cut(queues: list[str], shares: list[Fraction], totals: list[int], window: i
     return run
 
 
+def _parts(size: int):
+    """What each queue sends in each window in which it sends anything."""
+    schema = pa.schema([("queue", pa.string()), ("window", pa.int64()), ("sent", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for queue, total, num, den in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                share, pos = Fraction(int(num), int(den)), 0
+                while pos < total:
+                    w = _window_of(share, total, size, pos)
+                    end = _sent(share, total, size, w + 1)
+                    rows.append((queue, w, end - pos))
+                    pos = end
+                    if len(rows) > 20_000:
+                        yield _arrow(rows, schema)
+                        rows = []
+            if rows:
+                yield _arrow(rows, schema)
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """With what the rows before have sent, by range."""
+    at, part = 0, TaskContext.get().partitionId()
+    for batch in batches:
+        n = batch.column(2).to_numpy()
+        before = at + np.cumsum(n) - n
+        at += int(n.sum())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(before, pa.int64())], ["queue", "window", "sent", "range", "before"])
+
+
+def _split(size: int):
+    """Documents by the windows of their queue, each with its ids there."""
+    schema = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("window", pa.int64()), ("start", pa.int64()), ("skip", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for doc_id, queue, ids, n, pos, total, num, den in zip(*batch.columns, strict=True):
+                doc_id, queue, ids, n, pos, total = (x.as_py() for x in (doc_id, queue, ids, n, pos, total))
+                share, done = Fraction(int(num.as_py()), int(den.as_py())), 0
+                while done < n:
+                    w = _window_of(share, total, size, pos)
+                    k = min(n - done, _sent(share, total, size, w + 1) - pos)
+                    rows.append((doc_id, queue, w, done, pos - _sent(share, total, size, w), ids[2 * done : 2 * (done + k)], n))
+                    done, pos = done + k, pos + k
+                held += len(ids)
+                if len(rows) > 20_000 or held > 8_000_000:
+                    yield _arrow(rows, schema)
+                    rows, held = [], 0
+            if rows:
+                yield _arrow(rows, schema)
+
+    return run
+
+
+def _cut_split(sequence: int):
+    """Pieces of parts of documents whose place in the whole is known."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("source", pa.string()), ("window", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, queue, w, start, ids, n, whole in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                wide, done = np.frombuffer(ids, dtype="<u2").astype("<u4"), 0
+                while done < len(wide):
+                    size = min(len(wide) - done, sequence - whole % sequence)
+                    rows.append((doc_id, start + done, size, zlib.crc32(wide[done : done + size]), n, whole // sequence, whole % sequence, queue, w))
+                    done, whole = done + size, whole + size
+            if rows:
+                yield _arrow(rows, schema)
+
+    return run
+
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, window long"
 
 
@@ -188,23 +276,43 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, window: int
     that there are). A queue that is empty before the others leaves its part to them."""
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     spark = docs.sparkSession
-    few = docs.select(name.alias("q")).distinct().limit(max_queues + 1).count() <= max_queues
-    queue = name if few else F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string"))
-    encoded = docs.select(F.col("doc_id").cast("long"), queue.alias("queue"), text_of().alias("text")).mapInArrow(_encode(tokenizer), "doc_id long, queue string, ids binary, n long, part int, before long")
+    encoded = docs.select(F.col("doc_id").cast("long"), name.alias("queue"), text_of().alias("text")).mapInArrow(_encode(tokenizer), "doc_id long, queue string, ids binary, n long, part int, before long")
     table = written(encoded, "ids")
     sizes = written(table.groupBy("queue", "part").agg(F.sum("n").alias("n")), "queues")
-    totals = {r["queue"]: r["n"] for r in sizes.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most max_queues
-    queues = sorted(totals)
-    if not queues:
+    by_queue = written(sizes.groupBy("queue").agg(F.sum("n").alias("total")), "totals")
+    totals = {r["queue"]: r["total"] for r in by_queue.limit(max_queues + 1).collect()}
+    few, size = len(totals) <= max_queues, window * sequence
+    if not totals:
         return spark.createDataFrame([], PIECE)
     if shares is None:
-        want = [Fraction(totals[q], sum(totals.values())) for q in queues]
+        every = by_queue.agg(F.sum("total")).first()[0]
+        wanted = by_queue.select("queue", "total", F.col("total").cast("string").alias("num"), F.lit(str(every)).alias("den"))
+        share = {q: Fraction(n, every) for q, n in totals.items()} if few else None
     else:
-        raw = [Fraction(shares.get(q.removeprefix("="), 0)).limit_denominator(10**6) for q in queues]
-        if min(raw) <= 0:
+        # the caller holds a share of every source
+        queues = [r["queue"] for r in by_queue.select("queue").limit(len(shares) + 1).collect()]
+        raw = {q: Fraction(shares.get(q.removeprefix("="), 0)).limit_denominator(10**6) for q in queues}
+        if min(raw.values()) <= 0:
             raise ValueError("every source needs a positive share")
-        want = [x / sum(raw) for x in raw]
+        all_shares = sum(raw.values())
+        share = {q: x / all_shares for q, x in raw.items()}
+        wanted = by_queue.join(spark.createDataFrame([(q, str(x.numerator), str(x.denominator)) for q, x in share.items()], "queue string, num string, den string"), "queue")
     w = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0))).select("queue", "part", "base")
     placed = table.join(bases, ["queue", "part"]).select("doc_id", "queue", "ids", "n", (F.col("base") + F.col("before")).alias("pos"))
-    return placed.mapInArrow(_cut(queues, want, [totals[q] for q in queues], window * sequence, sequence), PIECE)
+    if few:
+        queues = sorted(totals)
+        return placed.mapInArrow(_cut(queues, [share[q] for q in queues], [totals[q] for q in queues], size, sequence), PIECE)
+    wanted = written(wanted.select("queue", "total", "num", "den"), "shares")
+    parts = written(wanted.mapInArrow(_parts(size), "queue string, window long, sent long"), "parts")
+    ordered = parts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "window", "queue").sortWithinPartitions("window", "queue")
+    summed = written(ordered.mapInArrow(_summed, "queue string, window long, sent long, range int, before long"), "places")
+    at, ranges = 0, []
+    for x in summed.groupBy("range").agg(F.sum("sent").alias("n")).orderBy("range").collect():  # a row per range
+        ranges.append((x["range"], at))
+        at += x["n"]
+    first = F.broadcast(spark.createDataFrame(ranges, "range int, first long"))
+    places = summed.join(first, "range").select("queue", "window", (F.col("first") + F.col("before")).alias("place"))
+    split = placed.join(wanted, "queue").select("doc_id", "queue", "ids", "n", "pos", "total", "num", "den").mapInArrow(_split(size), "doc_id long, queue string, window long, start long, skip long, ids binary, doc_tokens long")
+    met = split.join(places, ["queue", "window"]).select("doc_id", "queue", "window", "start", "ids", "doc_tokens", (F.col("place") + F.col("skip")).alias("whole"))
+    return met.mapInArrow(_cut_split(sequence), PIECE)
