@@ -164,6 +164,8 @@ def annotated(docs: DataFrame, support: int = SUPPORT, generalise: float = GENER
     level = lambda v: F.element_at(told, F.lower(v))
     spans = _placed(F.col("_text"), TERM, "term", lambda v: level(v).isNotNull())
     graded = F.transform(spans, lambda s: F.struct(F.when(level(s["value"]) >= remove, "removed").otherwise("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    # by shuffle at every size: both sides grow with the documents
+    per = per.hint("merge")
     met = based.join(per, based["_id"] == per["_key"], "left")
     return met.withColumn("_more", F.when(F.col("_told").isNull(), none).otherwise(graded)).drop("_id", "_key", "_told")
 
