@@ -153,3 +153,41 @@ def test_streaming_same_transforms(w, spark, tmp_path):
     q.stop()
     assert [r.n for r in spark.sql("select n from halves").collect()] == [5, 5]
     assert isinstance(ds, Dataset)
+
+
+def test_names_that_helpers_might_use(w):
+    rows = [(1, 2, 3, 4), (1, 5, 6, 7), (2, 8, 9, 10)]
+    ds = w.from_seq(rows, "_k0 int, _rows int, _rn int, values int")
+    assert sorted(map(tuple, ds.group_by("_k0").reduce_groups("sum", "_rows").collect())) == [(1, 7), (2, 8)]
+    assert sorted(map(tuple, ds.group_by("_rn").reduce_groups(lambda a, b: a).collect())) == [(r[2], *r) for r in rows]
+    assert ds.reduce("sum", "_rows", name="_rows").collect() == [15]
+    assert sorted(r["_rn"] for r in ds.group_by("_k0").top_n_per_group(1, "_rn").collect()) == [3, 9]
+    assert sorted(map(tuple, ds.group_by("_k0").map_values("_rows", "_k0").agg(F.sum("_rows").alias("_k1")).collect())) == [(1, 7), (2, 8)]
+    assert sorted(len(v) for v in ds.group_by("_k0").collect().values()) == [1, 2]
+
+
+def test_groups_stream_and_odd_keys_fold(w):
+    nan = float("nan")
+    ds = w.from_seq([(nan, 1), (nan, 2), (None, 3), (0.5, 4), (None, 5)], "k double, v int").repartition(3)
+    found = ds.group_by("k").reduce_groups(lambda a, b: (max(a[0], b[0]) if a[0] is not None else None, a[1] + b[1]))
+    assert sorted(r["v"] for r in found.collect()) == [3, 4, 8]
+    # a function that does not read all of its group's rows
+    first = w.from_seq(range(100)).group_by("value % 4").map_groups(lambda k, rows: (k, next(rows) % 4), schema="k long, m long")
+    assert sorted(map(tuple, first.collect())) == [(k, k) for k in range(4)]
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from weftline.shared import forget, shared_path
+
+    path = shared_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    forget(path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    nothing = SimpleNamespace(get=lambda k, d=None: d)
+    bare = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(getConf=lambda: nothing, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_path(bare, "x")

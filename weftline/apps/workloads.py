@@ -32,13 +32,13 @@ PERSON = (("first", "string"), ("last", "string"), ("age", "int"), ("month", "st
 
 def word_frequency(lines: Dataset, text: str = "value", top: int = 100) -> Dataset:
     """The most frequent lower-case words."""
-    found = lines.map(compat.words(text).alias("ws")).flat_map(F.transform("ws", F.lower), name="word").filter("word != ''")
+    found = lines.map(compat.words(text).alias("ws")).flat_map(F.transform("ws", lambda w: F.lower(compat.java_trim(w))), name="word").filter("word != ''")
     return top_counts(found, top, "word")
 
 
 def word_lengths(lines: Dataset, text: str = "value") -> Dataset:
-    """How many words there are of each length, punctuation left out."""
-    found = lines.flat_map(compat.words(text), name="w").map(F.length(compat.only_word_chars("w")).alias("len"))
+    """How many words there are of each length, punctuation left out; words of nothing else go."""
+    found = lines.flat_map(compat.words(text), name="w").map(F.length(compat.only_word_chars("w")).alias("len")).filter("len > 0")
     return count_by_key(found, "len")
 
 

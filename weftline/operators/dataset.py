@@ -29,6 +29,13 @@ def column(e: Expr) -> Column:
     return F.expr(e) if isinstance(e, str) else e
 
 
+def fresh(stem: str, columns: list[str]) -> str:
+    """A column name that none of columns begins with."""
+    while any(c.lower().startswith(stem) for c in columns):
+        stem = f"_{stem}"
+    return stem
+
+
 def is_opaque(f: Any) -> bool:
     return callable(f) and not isinstance(f, Column)
 
@@ -72,8 +79,9 @@ class Dataset:
             local = opaque.per_partition(self.df, fold, self.df.schema)
             return Dataset(opaque.per_partition(local.repartition(1), fold, self.df.schema))
         v = column(value) if value is not None else F.col(self.df.columns[0])
-        found = self.df.agg(reducer(how, v).alias(name), F.count(F.lit(1)).alias("_rows"))
-        return Dataset(found.filter(F.col("_rows") > 0).select(name))
+        rows = fresh("_rows", [name])
+        found = self.df.agg(reducer(how, v).alias(name), F.count(F.lit(1)).alias(rows))
+        return Dataset(found.filter(F.col(rows) > 0).select(F.col(f"`{name}`")))
 
     def first_n(self, n: int, *order: Expr | Callable) -> Dataset:
         """The first n rows of an order, sorted: order columns, or a strict less-than function."""

@@ -7,14 +7,12 @@ import functools
 from collections.abc import Callable
 from typing import Any
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from weftline.operators import opaque
-from weftline.operators.dataset import Dataset, Expr, Schema, column, is_opaque
+from weftline.operators.dataset import Dataset, Expr, Schema, column, fresh, is_opaque
 from weftline.operators.reducers import reducer
 
 
@@ -23,19 +21,20 @@ class GroupedDataset:
         self.df, self._keys, self._values = df, keys, values
 
     def _keyed(self) -> tuple[DataFrame, list[str], list[str]]:
-        """Keys as _k0.., values under their own names."""
-        out = self.df.select(*[k.alias(f"_k{i}") for i, k in enumerate(self._keys)], *self._values)
+        """Keys under names that no value has, values under their own."""
+        values = self.df.select(*self._values).columns
+        stem = fresh("_k", values)
+        out = self.df.select(*[k.alias(f"{stem}{i}") for i, k in enumerate(self._keys)], *self._values)
         n = len(self._keys)
-        return out, out.columns[:n], out.columns[n:]
+        return out, out.columns[:n], values
 
     def _key_names(self) -> list[str]:
         return self.df.select(*self._keys).columns
 
     def _named(self, df: DataFrame) -> DataFrame:
-        """Key columns back under their names; what else there is after them."""
-        for i, name in enumerate(self._key_names()):
-            df = df.withColumnRenamed(f"_k{i}", name)
-        return df
+        """The first columns, the keys, back under their names; what else there is after them."""
+        names = self._key_names()
+        return df.toDF(*names, *df.columns[len(names) :])
 
     def keys(self) -> Dataset:
         return Dataset(self.df.select(*self._keys).distinct())
@@ -58,7 +57,7 @@ class GroupedDataset:
             keys = [F.col(k).alias(name) for k, name in zip(ks, self._key_names(), strict=True)]
             return GroupedDataset(out, keys, [F.col(x) for x in kind.names])
         # expressions see the values as they are now; keys stay on the row before
-        seen, hidden = self._keyed()[0], [f"_k{i}" for i in range(len(self._keys))]
+        seen, hidden, _ = self._keyed()
         mapped = seen.select(*hidden, *[column(e) for e in exprs])
         keys = [F.col(k).alias(name) for k, name in zip(hidden, self._key_names(), strict=True)]
         return GroupedDataset(mapped, keys, [F.col(f"`{x}`") for x in mapped.columns[len(hidden) :]])
@@ -83,7 +82,8 @@ class GroupedDataset:
         """The first n rows of each group: the column-lane form of the common flat_map_groups."""
         keyed, ks, vs = self._keyed()
         w = Window.partitionBy(*ks).orderBy(*[column(e) for e in order])
-        return Dataset(keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max(0, n)).select(*vs))
+        rank = fresh("_rn", keyed.columns)
+        return Dataset(keyed.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= max(0, n)).select(*[F.col(f"`{v}`") for v in vs]))
 
     def reduce_groups(self, how: str | Callable, value: Expr | None = None, name: str = "value") -> Dataset:
         """Pairs of key and reduced value. Callables fold partially before the shuffle too."""
@@ -104,24 +104,27 @@ class GroupedDataset:
                     seen = {}
             yield from ((*k, *((v,) if one else v)) for k, v in seen.items())
 
+        def fold_runs(rows):
+            for k, found in opaque.groups(rows, n):
+                v = functools.reduce(how, (r[n] if one else make(*r[n:]) for r in found))
+                yield (*k, *((v,) if one else v))
+
         local = opaque.per_partition(keyed, fold, keyed.schema)
-        met = local.repartition(*ks)
-        done = opaque.per_partition(met, functools.partial(fold, bound=float("inf")), keyed.schema)
-        return Dataset(self._named(done))
+        met = local.repartition(*ks).sortWithinPartitions(*ks)
+        return Dataset(self._named(opaque.per_partition(met, fold_runs, keyed.schema)))
 
     def _per_group(self, fn, schema: Schema) -> Dataset:
+        """fn gets an iterator over the group's rows, which stream by."""
         keyed, ks, vs = self._keyed()
-        kind = opaque.as_schema(schema)
-        arrow, n = to_arrow_schema(kind), len(ks)
+        n, one = len(ks), len(vs) == 1
+        make = Row(*vs)
 
-        def run(table: pa.Table) -> pa.Table:
-            rows = table.combine_chunks()
-            key = tuple(rows.column(i)[0].as_py() for i in range(n))
-            values = opaque.elements(iter(rows.select(vs).to_batches()))
-            out = list(opaque.batches_of(fn(key[0] if n == 1 else key, values), arrow))
-            return pa.Table.from_batches(out, arrow)
+        def run(rows):
+            for k, found in opaque.groups(rows, n):
+                yield from fn(k[0] if n == 1 else k, (r[n] if one else make(*r[n:]) for r in found))
 
-        return Dataset(keyed.groupBy(*ks).applyInArrow(run, kind))
+        met = keyed.repartition(*ks).sortWithinPartitions(*ks)
+        return Dataset(opaque.per_partition(met, run, schema))
 
     # actions
     def collect(self, limit: int | None = None) -> dict:
@@ -129,10 +132,10 @@ class GroupedDataset:
         keyed, ks, vs = self._keyed()
         value = F.col(f"`{vs[0]}`") if len(vs) == 1 else F.struct(*[F.col(f"`{v}`") for v in vs])
         boxed = F.collect_list(F.struct(value.alias("v")))  # boxed: nulls are kept
-        lists = keyed.groupBy(*ks).agg(boxed.alias("_vs"))
+        lists = keyed.groupBy(*ks).agg(boxed.alias("values"))
         rows = (lists if limit is None else lists.limit(max(0, limit))).collect()
         n = len(ks)
-        return {(r[0] if n == 1 else tuple(r[:n])): [x["v"] for x in r["_vs"]] for r in rows}
+        return {(r[0] if n == 1 else tuple(r[:n])): [x["v"] for x in r[n]] for r in rows}
 
     def count(self) -> int:
         """The number of groups."""

@@ -4,7 +4,7 @@ Arrow batches. An element is the bare value of a one-column dataset, else a Row.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from itertools import chain, groupby, islice
 from typing import Any
 
 import pyarrow as pa
@@ -45,6 +45,15 @@ def batches_of(rows: Iterable[Any], schema: pa.Schema) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in records], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def groups(rows: Iterable[tuple], n: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """The runs of equal leading n values of sorted rows, each as it streams by."""
+    # not-a-number is one key, as in Spark
+    same = lambda r: tuple("nan" if isinstance(x, float) and x != x else (x,) for x in r[:n])
+    for _, run in groupby(rows, same):
+        first = next(run)
+        yield tuple(first[:n]), chain((first,), run)
+
+
 def per_partition(df: DataFrame, fn: Callable[[Iterator[Any]], Iterable[Any]], schema: str | StructType) -> DataFrame:
     """fn turns the elements of a partition into those of the result, lazily."""
     kind = as_schema(schema)
