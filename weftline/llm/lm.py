@@ -39,8 +39,9 @@ in pieces. Other columns are not read. An empty table gives an empty result."""
 from __future__ import annotations
 
 import re
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_mod, runs, text_of, written
+from weftline.llm.common import Memo, crc_mod, runs, text_of, written
 
 GROUPS = 512
 CLASSES = 32
@@ -72,11 +73,12 @@ WORDS_HELD = 400_000
 #: Tokens scored or learned from at a time, and documents.
 TOKENS_AT_ONCE, DOCS_AT_ONCE = 1 << 18, 1 << 16
 #: Tokens whose continuations travel in one array.
-TOKENS_TO_DEAL = 1 << 21
+TOKENS_TO_DEAL = 1 << 20
 BYTES_AT_ONCE = 1_000_000
 LONG = re.compile(rb"(?:[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*){1,50000}")
 BLOCK = 1024
 END_HASH = 7
+MARKS = b".,;:!?*$%#&\"'()"
 RARE = FREQUENT
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -85,9 +87,13 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+def _group_of_tail(tail: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(tail) % (GROUPS - 1)
+
+
 def group_of(word: bytes) -> int:
     """By the last letters, punctuation left out."""
-    return xxhash.xxh3_64_intdigest(word.strip(b".,;:!?*$%#&\"'()")[-3:]) % (GROUPS - 1)
+    return _group_of_tail(word.strip(MARKS)[-3:])
 
 
 def feature_rows(third: np.ndarray, before: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
@@ -105,18 +111,24 @@ CONSTANT = 0
 
 
 def logits(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    out = weights[rows[0]]
+    """Bounded, so that their exponentials need no scaling."""
+    out = weights.take(rows[0], 0)
     for r in rows[1:]:
-        out += weights[r]
+        out += weights.take(r, 0)
     out += weights[CONSTANT]
-    return out
+    return np.clip(out, -60, 60, out=out)
+
+
+def log_likely(weights: np.ndarray, rows: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
+    """The log probability of each token's class."""
+    p = logits(weights, rows)
+    mine = p[np.arange(len(p)), classes].astype(np.float64)
+    return mine - np.log(np.exp(p, out=p).sum(1))
 
 
 def probabilities(weights: np.ndarray, before: np.ndarray, last: np.ndarray, third: np.ndarray | None = None) -> np.ndarray:
     """(histories, classes)."""
-    p = logits(weights, feature_rows(np.zeros_like(before) if third is None else third, before, last))
-    p -= p.max(1, keepdims=True)
-    np.exp(p, out=p)
+    p = np.exp(logits(weights, feature_rows(np.zeros_like(before) if third is None else third, before, last)))
     return p / p.sum(1, keepdims=True)
 
 
@@ -128,22 +140,12 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self._groups, self._hashes = array("H", [GROUPS - 1]), array("q", [END_HASH])
-        self.known = 0
-        groups, hashes = self._groups, self._hashes
-
-        class Numbers(dict):
-            def __missing__(self, word):
-                self[word] = n = len(hashes)
-                hashes.append(word_hash(word))
-                groups.append(group_of(word))
-                return n
-
-        self._number = Numbers().__getitem__
+        self._numbers = defaultdict(count(1).__next__)
+        self._number, self._groups, self.known = self._numbers.__getitem__, Memo(_group_of_tail), 0
 
     @property
     def full(self) -> bool:
-        return len(self._hashes) > self.bound
+        return len(self._numbers) >= self.bound
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The numbers of a text's words, the end after them."""
@@ -157,10 +159,15 @@ class Words:
 
     def learn(self) -> None:
         """Bring the arrays by number up to date."""
-        if self.known == len(self._hashes):
-            return
         new = self.known
-        hashes, groups = np.array(self._hashes[new:], np.int64), np.array(self._groups[new:], np.uint16)
+        if new == len(self._numbers) + 1:
+            return
+        # in the order of their numbers
+        words = list(islice(self._numbers, max(0, new - 1), None))
+        hashes = np.array([word_hash(w) for w in words], np.int64)
+        groups = np.array([self._groups[w.strip(MARKS)[-3:]] for w in words], np.uint16)
+        if not new:
+            hashes, groups = np.append(END_HASH, hashes), np.append(np.uint16(GROUPS - 1), groups)
         found = {"hashes": hashes, "groups": groups}
         if self.class_of is not None:
             found["classes"] = self.class_of[groups]
@@ -173,7 +180,7 @@ class Words:
             found["feature"] = np.where(hit, hashes.view(np.uint64), groups.astype(np.uint64) + np.uint64(1 << 20))
         for k, v in found.items():
             setattr(self, k, np.concatenate([getattr(self, k), v]) if new else v)
-        self.known = len(self._hashes)
+        self.known = len(self._numbers) + 1
 
 
 def _gathered(words: Words, texts: Iterator, tokens: int = TOKENS_AT_ONCE, docs: int = DOCS_AT_ONCE) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -252,19 +259,17 @@ def classes_of(near: np.ndarray, turns: int = 12) -> np.ndarray:
     return np.append(mine, END).astype(np.uint8)
 
 
-def _sgd(weights: np.ndarray, scale: np.ndarray, rows: list[np.ndarray], classes: np.ndarray, rate: float) -> None:
-    """One update in place; scale holds squares of gradients."""
-    n = len(classes)
-    p = logits(weights, rows)
-    p -= p.max(1, keepdims=True)
-    np.exp(p, out=p)
+def _sgd(weights: np.ndarray, scale: np.ndarray, rows: list[np.ndarray], classes: np.ndarray, rate: float, turn: int) -> None:
+    """One update in place, of the constant and of the family of features whose turn it is;
+    scale holds squares of gradients."""
+    p = np.exp(logits(weights, rows))
     p /= p.sum(1, keepdims=True)
-    p[np.arange(n), classes] -= 1
-    all_rows = np.concatenate(rows)
-    order = np.argsort(all_rows, kind="stable")
-    at, first = np.unique(all_rows[order], return_index=True)
-    g = np.add.reduceat(p[order % n], first, axis=0)
-    for r, d in ((at, g), ([CONSTANT], p.sum(0, keepdims=True))):
+    p[np.arange(len(p)), classes] -= 1
+    mine = rows[turn % len(rows)].astype(np.uint16)
+    order = np.argsort(mine, kind="stable")
+    mine = mine[order]
+    first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+    for r, d in ((mine[first], np.add.reduceat(p.take(order, 0), first, axis=0)), ([CONSTANT], p.sum(0, keepdims=True))):
         s = scale[r] + d * d
         scale[r] = s
         weights[r] -= rate * d / np.sqrt(s)
@@ -288,14 +293,12 @@ def _train(classes: np.ndarray, frequent, weights: np.ndarray, seen: np.ndarray,
                 rows = feature_rows(*[words.feature[x] for x in reversed(before)])
                 c = words.classes[now].astype(np.int64)
                 size = min(BATCH, max(64, len(now) // UPDATES))
-                for i in range(0, len(now), size):
-                    part = [r[i : i + size] for r in rows]
+                for turn, i in enumerate(range(0, len(now), size)):
+                    part, mine_of = [r[i : i + size] for r in rows], c[i : i + size]
                     if held:
-                        p = logits(weights, part)
-                        top = p.max(1)
-                        judged += (p[np.arange(len(p)), c[i : i + size]] - top - np.log(np.exp(p - top[:, None]).sum(1))).sum(), len(p)
+                        judged += log_likely(weights, part, mine_of).sum(), len(mine_of)
                     else:
-                        _sgd(w, scale, part, c[i : i + size], rate)
+                        _sgd(w, scale, part, mine_of, rate, turn)
                 if not held:
                     mine += np.bincount(np.concatenate(rows), minlength=TABLE_ROWS)
                     mine[CONSTANT] += len(now)
@@ -397,9 +400,7 @@ def _score(classes: np.ndarray, frequent, weights: np.ndarray, sizes: np.ndarray
             context = np.empty(len(now))
             for i in range(0, len(now), 8192):
                 s = slice(i, i + 8192)
-                p = logits(weights, feature_rows(words.feature[third[s]], words.feature[before[s]], words.feature[last[s]]))
-                top = p.max(1)
-                context[s] = p[np.arange(len(p)), c[s]] - top - np.log(np.exp(p - top[:, None]).sum(1))
+                context[s] = log_likely(weights, feature_rows(words.feature[third[s]], words.feature[before[s]], words.feature[last[s]]), c[s])
             lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
             of = np.repeat(np.arange(len(numbers)), lengths)
             count = words.counts[now]
@@ -443,28 +444,32 @@ def _continued(inside: np.ndarray):
                 continue
             chunks, parts = sent.column("chunk").to_pylist(), [_unpacked(x.as_py()) for x in sent.column("data")]
             key, event, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            taught = (doc & 1).astype(np.int64)
-            order = np.lexsort((event, key))
-            k, e, t = key[order], event[order], taught[order]
-            new_key = np.append(True, k[1:] != k[:-1])
-            new_event = new_key | np.append(True, e[1:] != e[:-1])
-            at_event, at_key = np.cumsum(new_event) - 1, np.cumsum(new_key) - 1
+            ends = np.cumsum([len(p[0]) for p in parts])
+            del parts, table, sent
+            # sorted runs: by key, then by the key's number and the continuation
+            order = np.argsort(key, kind="stable")
+            at_key = np.empty(len(key), np.int64)
+            at_key[order] = np.cumsum(np.append(0, np.diff(key[order]) != 0))
+            at_key <<= 21
+            at_key |= event
+            order = np.argsort(at_key)
+            both = at_key[order]
+            t = (doc[order] & 1).astype(np.float64)
+            new_event = np.append(True, both[1:] != both[:-1])
+            both = both[new_event]
+            at_event, e, key_of = np.cumsum(new_event) - 1, both & (RARE * 2 - 1), both >> 21
             n_event = np.bincount(at_event, t)
-            key_of, rare = at_key[new_event], e[new_event] == RARE
+            rare = e == RARE
             common = np.bincount(key_of, np.where(rare, 0, n_event))
             all_of = np.bincount(key_of, n_event)
             once = np.bincount(key_of, np.where(rare, n_event, n_event == 1))
             escape = np.where(common > 0, (once + ESCAPE[0]) / (all_of + sum(ESCAPE)), 1.0)
             left = np.where(common > 0, (1 - escape) / np.maximum(common, 1), 0)
             # of a rare word the escape alone; its probability in the class is added where its count is known
-            p = escape[key_of] * inside[np.minimum(e[new_event], len(inside) - 1)] + np.where(rare, 0, n_event * left[key_of])
-            log = np.empty(len(k))
+            p = escape[key_of] * inside[e] + np.where(rare, 0, n_event * left[key_of])
+            log = np.empty(len(key), np.float32)
             log[order] = np.log10(p)[at_event]
-            rows = []
-            for i, chunk in enumerate(chunks):
-                mine = source == i if len(parts) > 1 else slice(None)
-                rows.append((chunk, np.bincount(doc[mine] >> 1, log[mine]).astype(np.float32).tobytes()))
+            rows = [(chunk, np.bincount(doc[a:b] >> 1, log[a:b]).astype(np.float32).tobytes()) for chunk, a, b in zip(chunks, [0, *ends], ends)]
             cols = {"chunk": [c for c, _ in rows], "data": [x for _, x in rows]}
             yield pa.RecordBatch.from_arrays([pa.array(cols.get(f.name, [None] * len(rows)), f.type) for f in schema], schema=schema)
 
@@ -507,13 +512,14 @@ def score(docs: DataFrame, rounds: int = ROUNDS, frequent_bound: int = FREQUENT)
     room = size + 0.5 * (kinds + 1)
     prior = (size + 0.5) / (size + 0.5).sum()
     weights, _ = train(learned, classes, frequent, prior, rounds)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = 2 * tasks
     rows = docs.select(F.col("doc_id").cast("long"), (crc_mod("doc_id", 5) != 1).alias("taught"), text)
     parts = rows.mapInArrow(_score(classes, frequent, weights, np.log10(room), buckets), PART)
     inside = (counts + 0.5) / room[classes[groups]] if len(groups) else np.zeros(0)
     table = np.zeros(RARE) if not len(inside) else np.pad(inside, (0, RARE - len(inside)))
     passed = PART.replace("bucket int, ", "")
-    scored = written(parts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_continued(table), passed), "parts")
+    scored = written(parts.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_continued(table), passed), "parts")
     parts = scored.filter("row is not null").drop("chunk", "data")
     continued = scored.filter("row is null").select("chunk", "data").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_by_document, "row long, inside double")
     pairs = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("h"), F.col("p.times").alias("k"))
