@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -119,3 +120,59 @@ def test_terms_far_from_the_entity(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {x.doc_id: x.n_terms for x in pii.find(df).collect()}
     assert all(got[i] == int(i >= 200) for i in got)
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    took = []
+    for n in (16_000, 32_000):
+        text = "mail a@b.co, " * n
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        row, clean = pii.find(df).collect()[0], pii.sanitise(df).collect()[0]
+        took.append(time.perf_counter() - began)
+        assert row.n_email == n and clean.text == "mail [EMAIL], " * n
+        line = ",".join(f"email:{a}:{b}" for _, a, b in brute(text))
+        assert row.spans == line and row.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+    assert took[1] < 3 * took[0]
+
+
+def test_many_shared_entities_in_a_text(spark):
+    text = " ".join(f"mail u{i}@b.co," for i in range(5000))
+    df = spark.createDataFrame([(1, text), (2, f"{text} x")], "doc_id long, text string")
+    assert [r.n_email for r in pii.find(df).collect()] == [5000, 5000]
+
+
+def overlaid(text, spans):
+    """By one walk: spans that overlap become one, under the first's name."""
+    out, at = "", 0
+    for a, b, kind in sorted(spans):
+        if a >= at:
+            out += text[at:a] + ("" if kind == "removed" else f"[{kind.upper()}]")
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_term_spans_and_cuts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CUT", 7)
+    r = random.Random(11)
+    fill = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    told = ["Qqzorb", "q7", "EMP1234", "4711"]
+    docs = [fill(9) for _ in range(150)] + [f"{r.choice(told)} 𝒳{fill(4)} ann@x.org, {t} {fill(2)}" for t in told * 3] + [f"x{told[0]} q7ann@x.orgq7 q7", "q7", "4711é 4711", None, ""]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    found = {x.doc_id: x for x in pii.find(df, generalise=0.5, remove=2.0).collect()}
+    clean = {x.doc_id: x.text for x in pii.sanitise(df, generalise=0.5, remove=2.0).collect()}
+    removed = {x.doc_id: x.text for x in pii.sanitise(df, generalise=0.5, remove=0.5).collect()}
+    flagged = {t.lower() for t in told}
+    for i, t in enumerate(docs):
+        terms = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t or "") if m[0].lower() in flagged]
+        base = brute(t)
+        want = ",".join([f"{k}:{a}:{b}" for k, a, b in base] + [f"term:{a}:{b}" for a, b in terms])
+        assert found[i].spans == want and found[i].n_terms == len(terms), (i, t)
+        spans = [(a, b, k) for k, a, b in base]
+        assert clean[i] == (t and overlaid(t, spans + [(a, b, "term") for a, b in terms]))
+        assert removed[i] == (t and overlaid(t, spans + [(a, b, "removed") for a, b in terms]))
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a@b.co x", "k")], "doc_id long, text string, _base string").selectExpr("*", "1 as _text", "2 as _id", "3 as e", "4 as term", "5 as _row")
+    assert pii.sanitise(df).collect()[0].text == "[EMAIL] x" and pii.find(df).collect()[0].n_email == 1

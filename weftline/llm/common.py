@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
-LOCAL_SHARED = "/tmp/checkpoints"
+from weftline.shared import forget, shared_path
+
 #: A token in the sense of the contracts: no ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or LOCAL_SHARED
-    return f"{base.rstrip('/')}/weftline-{tag}-{uuid.uuid4().hex}"
+shared_dir = shared_path
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, tag)
+    path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.weftline_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more; others go when Python ends."""
+    for x in tables:
+        forget(x.weftline_path)
 
 
 def text_of(c: str | Column = "text") -> Column:
@@ -89,6 +93,7 @@ def components(edges: DataFrame, tag: str, rounds: int = 40) -> DataFrame:
         small_least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(small_least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt = cut(small.unionByName(small_least.select("a", F.col("m").alias("b"))).filter("a != b").distinct())
+        dropped(now, least, large, small_least)
         mark = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         now = nxt
         if mark == seen:

@@ -7,11 +7,15 @@ entity and n(t, e) in which both stand, wherever that is, the pointwise mutual i
 log2(n(t,e) N / (n(t) n(e))) over the entity's information log2(N / n(e)) is 1 for a term
 that gives the entity away wholly, about 0 for one that tells nothing. Terms from the
 first threshold on are generalised to a class, from the second on removed, wherever they
-stand.
+stand. A term is a run of letters and digits of any length; what stands in base spans only
+is none.
 
 Everything is DataFrame expressions: a pattern's matches and the text between them
 (extracting and splitting by the same pattern) give the places of the matches, in code
-points. Texts that repeat are found by their hashes, and only their first copies move.
+points, as running sums. Sums run in blocks, as many as each has members, and texts are cut by
+blocks of code points, so that no array or string grows by one match after the other
+and none is walked from its start for each.
+Texts that repeat are found by their hashes, and only their first copies move.
 Patterns are possessive and begin where a run begins, so that no long run of
 letters or digits takes more than linear time; what they match is what the plain
 patterns match. Terms of hot entities are counted by partial sums; a candidate list is broadcast only below a checked size, else joined by shuffle.
@@ -19,8 +23,10 @@ patterns match. Terms of hot entities are counted by partial sums; a candidate l
 Defined results: null text counts as empty and has no spans (sanitise leaves it null).
 Repeated rows get the same spans; a null doc_id is a row like any other. Copies of a
 text count once in each of the four counts, so that copying alone makes no term telling
-and hides none. Without entities no term
-is flagged. Of the other columns only n_chars is touched, and by sanitise alone, to
+and hides none. Without entities no term is flagged; nor by an entity of one different
+text, of which every word found nowhere else would be telling. A very long text is like any
+other; with E entities that other texts share and T different terms it takes part in E T counts.
+Of the other columns only n_chars is touched, and by sanitise alone, to
 count the new text. An empty table gives an empty result."""
 
 from __future__ import annotations
@@ -44,8 +50,9 @@ HINTS = {
     "card": lambda t: F.regexp_like(t, F.lit(r"[0-9](?:[\x20-]?[0-9]){15}")),
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
-TERM = r"\p{L}+"
-LEAST_LETTERS = 4
+TERM = r"[\p{L}\p{N}]++"
+#: Code points that a text is cut into to find places in it.
+CUT = 4096
 #: Different texts that a term must share with an entity to be judged.
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
@@ -65,25 +72,74 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(text: Column, pattern: str, kind: Column | str, keep) -> Column:
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, op, kind: str = "long") -> Column:
+    """Of each element, op over those before it (0: none). Blocks of about as many
+    elements as there are blocks: what grows is short."""
+    zero = F.lit(0).cast(kind)
+
+    def run(block: Column, of) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(block, start, lambda acc, x: F.struct(op(acc["at"], of(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def blocked(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / width).cast("int")), lambda i: F.slice(v, i * width + 1, width))
+        inner = F.transform(blocks, lambda b: run(b, lambda x: x))
+        return _let(inner, lambda found: F.flatten(F.zip_with(found, run(found, lambda x: x["at"])["out"], lambda x, first: F.transform(x["out"], lambda y: op(y, first)))))
+
+    return _let(values, blocked)
+
+
+_SPANS = "array<struct<kind:string,start:long,end:long,value:string>>"
+
+
+def _placed(text: Column, pattern: str, kind: Column | str, keep=None) -> Column:
     """array<struct<kind,start,end,value>> of the matches that keep holds for."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<kind:string,start:long,end:long,value:string>>")
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        span = F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), pair["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.when(keep(pair["hit"]), F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def spans(hits: Column) -> Column:
+        pieces = F.zip_with(hits, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda hit, gap: F.struct(hit.alias("hit"), F.length(gap).cast("long").alias("gap"), F.length(hit).cast("long").alias("n")))
+
+        def placed(found: Column) -> Column:
+            starts = _before(F.transform(found, lambda x: x["gap"] + x["n"]), lambda a, b: a + b)
+            return F.zip_with(found, starts, lambda x, at: F.struct(kind.alias("kind"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["hit"].alias("value")))
+
+        out = _let(pieces, placed)
+        return F.filter(out, lambda x: keep(x["value"])) if keep else out
 
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"))
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+
+
+def _replaced(text: Column, spans: Column, tag) -> Column:
+    """text with tag(span) for each span; of spans that overlap the first gives it for all.
+    spans: start, end and what tag reads, in order."""
+
+    def rebuilt(blocks: Column, found: Column, seen: Column) -> Column:
+        n = F.length(text).cast("long")
+        block = lambda x: F.get(blocks, F.floor(x / CUT).cast("int"))
+        within = lambda x: (x % CUT).cast("int")
+
+        def cut(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / CUT).cast("int"), F.floor(b / CUT).cast("int")
+            far = F.concat(F.substr(block(a), within(a) + 1), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.coalesce(F.substr(block(b), F.lit(1), within(b)), F.lit("")))
+            return F.when(b <= a, "").when(first == last, F.substr(block(a), within(a) + 1, (b - a).cast("int"))).otherwise(far)
+
+        parts = F.zip_with(found, seen, lambda x, at: F.when(x["start"] >= at, F.concat(cut(at, x["start"]), tag(x))).otherwise(""))
+        end = F.coalesce(F.array_max(F.transform(found, lambda x: x["end"])), F.lit(0).cast("long"))
+        return F.concat(F.array_join(parts, ""), cut(end, n))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    return _let(blocks, lambda b: _let(spans, lambda x: _let(_before(F.transform(x, lambda y: y["end"]), lambda p, q: F.greatest(p, q)), lambda at: rebuilt(b, x, at))))
 
 
 def base_spans(text: Column) -> Column:
     """All valid spans by kind, then start."""
-    none = F.array().cast("array<struct<kind:string,start:long,end:long,value:string>>")
+    none = F.array().cast(_SPANS)
     return F.concat(*[F.when(HINTS[k](text), _placed(text, PATTERNS[k], k, lambda v, k=k: _valid(k, v))).otherwise(none) for k in KINDS])
 
 
@@ -94,35 +150,41 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(v)).when(span["kind"] == "ip", v).otherwise(F.translate(digits, ".", "")))
 
 
+def _outside(text: Column, base: Column) -> Column:
+    """The text with a blank for each base span."""
+    ordered = F.array_sort(F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    return F.when(F.size(base) == 0, text).otherwise(_replaced(text, ordered, lambda x: F.lit(" ")))
+
+
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+", -1), lambda w: F.length(w) >= LEAST_LETTERS)
+    """The different terms."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def telling_terms(based: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """term and disclosure of the terms at or above the threshold. based: _text, _base of every document; each row counts."""
     total = based.count()
-    # of an e-mail address also the value, which alone has letters
-    entities = F.array_distinct(F.transform("_base", lambda x: F.struct(F.xxhash64(_entity(x)).alias("e"), F.when(x["kind"] == "email", F.lower(x["value"])).otherwise("").alias("value"))))
-    some = based.filter(F.size("_base") > 0)
+    some = written(based.filter(F.size("_base") > 0), "with-entities")
     has = some.select(F.explode(F.array_distinct(F.transform("_base", lambda x: F.xxhash64(_entity(x))))).alias("e"))
     ne = written(has.groupBy("e").agg(F.count(F.lit(1)).alias("ne")), "entities")
     # an entity of fewer documents than support shares no term in as many: exact, and most go here
     shared = ne.filter(F.col("ne") >= support).select("e")
     few = shared.count() <= BROADCAST_TERMS
-    texts = some.groupBy(F.xxhash64("_text").alias("d")).agg(F.first("_text").alias("_text"), F.first(entities).alias("found"))
-    each = texts.select("_text", F.explode("found").alias("x")).select("_text", F.col("x.e").alias("e"), F.col("x.value").alias("value"))
-    each = each.join(F.broadcast(shared) if few else shared, "e")
-    # terms of the whole document beside the entity itself
-    beside = F.replace(F.lower("_text"), F.col("value"), F.lit(" "))
-    seen = each.select("e", F.explode(F.array_distinct(_terms(beside))).alias("term"))
+    texts = some.groupBy(F.xxhash64("_text").alias("d")).agg(F.first("_text").alias("_text"), F.first("_base").alias("_base"))
+    found = F.array_distinct(F.transform("_base", lambda x: F.xxhash64(_entity(x))))
+    # ids alone are joined; then each text once, beside its shared entities
+    each = some.select(F.xxhash64("_text").alias("d"), F.explode(found).alias("e")).distinct()
+    mine = each.join(F.broadcast(shared) if few else shared, "e").groupBy("d").agg(F.collect_list("e").alias("es"))
+    near = texts.join(mine, "d").select("es", _terms(_outside(F.col("_text"), F.col("_base"))).alias("ts"))
+    seen = near.select("ts", F.explode("es").alias("e")).select("e", F.explode("ts").alias("term"))
     met = seen.groupBy("e", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
     met = written(met, "met")
-    size = met.select("term").distinct().count()
+    candidates = written(met.select("term").distinct(), "candidates")
+    size = candidates.count()
     if not size:
         return met.select("term", F.lit(0.0).alias("disclosure"))
-    candidates = met.select("term").distinct()
     # a document's different words, so that counts are partial sums and no (document, term) pairs move
-    words = based.select(F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term"))
+    words = based.select(F.explode(_terms(_outside(F.col("_text"), F.col("_base")))).alias("term"))
     found = words.join(F.broadcast(candidates), "term") if size <= BROADCAST_TERMS else words.groupBy("term").agg(F.count(F.lit(1)).alias("part")).join(candidates, "term")
     df = found.groupBy("term").agg((F.count(F.lit(1)) if size <= BROADCAST_TERMS else F.sum("part")).alias("nt"))
     scored = met.join(df, "term").join(ne, "e")
@@ -152,21 +214,21 @@ def annotated(docs: DataFrame, support: int = SUPPORT, generalise: float = GENER
     narrow = based.select("_id", "_text", "_base")
     telling = telling_terms(different(narrow), support, generalise)
     n = telling.count()
-    none = F.array().cast("array<struct<kind:string,start:long,end:long,value:string>>")
+    none = F.array().cast(_SPANS)
     if not n:
         return based.withColumn("_more", none).drop("_id")
-    words = narrow.select("_id", F.explode(_terms(F.col("_text"))).alias("term"))
-    found = words.join(F.broadcast(telling) if n <= BROADCAST_TERMS else telling, "term").distinct()
-    # a document's own list: at most its different words
-    per = found.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_told"))
-    per = written(per.withColumnRenamed("_id", "_key"), "told")
-    told = F.coalesce("_told", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
-    level = lambda v: F.element_at(told, F.lower(v))
-    spans = _placed(F.col("_text"), TERM, "term", lambda v: level(v).isNotNull())
-    graded = F.transform(spans, lambda s: F.struct(F.when(level(s["value"]) >= remove, "removed").otherwise("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    words = narrow.select("_id", F.posexplode(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)))).select("_id", F.col("pos").alias("i"), F.lower("col").alias("term"))
+    found = words.join(F.broadcast(telling) if n <= BROADCAST_TERMS else telling, "term")
+    kind = F.when(F.col("disclosure") >= remove, "removed").otherwise("term").alias("kind")
+    # a document's own list: at most its words
+    per = found.groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("i", kind))).alias("_told"))
     # by shuffle at every size: both sides grow with the documents
-    per = per.hint("merge")
+    per = written(per.withColumnRenamed("_id", "_key"), "told").hint("merge")
     met = based.join(per, based["_id"] == per["_key"], "left")
+    graded = _let(
+        _placed(F.col("_text"), TERM, "term"),
+        lambda spans: F.transform("_told", lambda x: _let(F.get(spans, x["i"]), lambda s: F.struct(x["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))),
+    )
     return met.withColumn("_more", F.when(F.col("_told").isNull(), none).otherwise(graded)).drop("_id", "_key", "_told")
 
 
@@ -187,15 +249,7 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
     got = annotated(docs, **how)
     ordered = F.array_sort(F.transform(F.concat("_base", "_more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     tag = lambda s: F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    cut = lambda a, n: F.substring(F.col("_text"), (a + 1).cast("int"), n.cast("int"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], cut(acc["at"], s["start"] - acc["at"]), tag(s))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], cut(acc["at"], F.length("_text") - acc["at"])))
+    clean = _replaced(F.col("_text"), ordered, tag)
     changed = F.size("_base") + F.size("_more") > 0
     cols = {"text": F.when(changed, clean).otherwise(F.col("_row.text"))}
     if "n_chars" in docs.columns:
