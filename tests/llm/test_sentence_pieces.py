@@ -61,6 +61,26 @@ def test_chunks_and_states():
             assert value(own, s, np.frombuffer(ids, "<u2").tolist()) == value(own, s, plain)
 
 
+def test_ids_are_the_same_for_every_size_of_chunks():
+    own = sp.Pieces(PATH)
+    r = random.Random(12)
+    odd = ["".join(r.choice("aaabest.\U0001d4b3") for _ in range(r.randint(1, 90))) for _ in range(60)]
+    for t in [*texts(60, 13), *odd]:
+        s = sp.marked(t)
+        for size in (1, 2, 3, 7, 20, 50, 301) if s else ():
+            parts = [(s[a : a + size + own.longest - 1], min(size, len(s) - a)) for a in range(0, len(s), size)]
+            ms, ranks = (np.stack(x) for x in zip(*(own.matrix_and_ranks(*p) for p in parts)))
+            at = sp.states(ms, ranks)
+            assert b"".join(own.trace(*p, at[k], at[k + 1]) for k, p in enumerate(parts)) == own.encode(s), (t, size)
+
+
+def test_ids_of_the_tables_texts_do_not_depend_on_chunks(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = {r.doc_id: bytes(r.ids) for r in sp.encode(df, PATH).collect()}
+    for chunk in (50, 301):
+        assert {r.doc_id: bytes(r.ids) for r in sp.encode(df, PATH, giant=chunk, chunk=chunk).collect()} == plain
+
+
 def test_round_trip(spark):
     docs = [(i, t) for i, t in enumerate(texts(40))] + [(900, None), (None, "null id"), (5, "again"), (5, "again"), (901, "word and " * 3000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("ids", F.lit(1)).repartition(3)

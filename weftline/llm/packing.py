@@ -1,9 +1,10 @@
 """Packing by mixture control: deficit round-robin over source queues.
 
-Every source is a queue of its documents' tokens. In each window a queue may send its
-share of the window (by default its share of all tokens), and what rounding leaves it
-short of is a deficit that it carries into the next window: after w windows it has sent
-floor(share * window * w) tokens, wherever its documents lie. The order of the rounds
+Every source is a queue of its documents' tokens. In each window, one sequence by default, a queue
+is owed its share of the window (by default its share of all tokens). It sends what it is
+owed in whole quanta (a 32nd of a sequence), and what is left is a deficit that it carries into the next
+window: after w windows it has sent share * window * w tokens less a part of a quantum,
+wherever its documents lie. The order of the rounds
 being fixed, the place of each token follows from its place in its queue by arithmetic
 alone, so that windows are filled in parallel, deficits carry over from partition to
 partition, and no queue, however large, is gathered anywhere. The windows follow one
@@ -17,6 +18,8 @@ parts that more of them have in the windows are a table (as many rows as a packi
 pieces, at most), whose places are sums along its order by window and source, and which
 documents meet by source and window; the pieces are the same.
 
+Very long texts are encoded in bounded pieces and cut like others.
+
 Defined results: null text is empty and has just the end id; a null source is a source
 of its own; repeated rows are packed each; other columns are not read; an empty table
 gives no pieces. Queues go in the order of their names, documents in that of the scan."""
@@ -37,8 +40,10 @@ from pyspark.sql import functions as F
 from weftline.llm.common import Memo, text_of, written
 
 SEQUENCE = 2048
-#: Proportions hold in windows of so many sequences; documents are cut less than in windows of one.
-WINDOW = 64
+#: Proportions hold in windows of so many sequences; in longer ones documents are cut less.
+WINDOW = 1
+#: Queues send in quanta, of which a sequence has so many: no piece is cut to a token or two.
+QUANTA = 32
 END_ID = 1
 #: Queues up to which all tasks hold their totals and shares.
 MAX_QUEUES = 256
@@ -124,22 +129,19 @@ def _encode(path: str):
     return run
 
 
-def _sent(share: Fraction, total: int, size: int, w: int) -> int:
-    """What a queue has sent before window w."""
-    return min(total, share.numerator * size * w // share.denominator)
+def _sent(share: Fraction, total: int, size: int, quantum: int, w: int) -> int:
+    """What a queue has sent before window w: whole quanta, or all."""
+    owed = share.numerator * size * w // share.denominator
+    return total if owed >= total else owed // quantum * quantum
 
 
-def _window_of(share: Fraction, total: int, size: int, pos: int) -> int:
-    """The window in which a queue sends its token at pos."""
-    w = pos * share.denominator // (share.numerator * size)
-    while _sent(share, total, size, w + 1) <= pos:
-        w += 1
-    while _sent(share, total, size, w) > pos:
-        w -= 1
-    return w
+def _window_of(share: Fraction, total: int, size: int, quantum: int, pos: int) -> int:
+    """The window in which a queue sends its token at pos: that in which the quantum is owed."""
+    need = min(total, (pos // quantum + 1) * quantum)
+    return -(-need * share.denominator // (share.numerator * size)) - 1
 
 
-def _cut(queues: list[str], shares: list[Fraction], totals: list[int], window: int, sequence: int):
+def _cut(queues: list[str], shares: list[Fraction], totals: list[int], window: int, quantum: int, sequence: int):
     """Pieces of documents whose place in their queue is known."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("source", pa.string()), ("window", pa.int64())])
     at = {q: i for i, q in enumerate(queues)}
@@ -147,7 +149,7 @@ def _cut(queues: list[str], shares: list[Fraction], totals: list[int], window: i
 
     def sent(i: int, w: int) -> int:
         """What queue i has sent before window w."""
-        return _sent(*each[i], window, w)
+        return _sent(*each[i], window, quantum, w)
 
     places: dict[int, tuple[list[int], list[int]]] = {}
 
@@ -165,7 +167,7 @@ def _cut(queues: list[str], shares: list[Fraction], totals: list[int], window: i
         return places[w]
 
     def window_of(i: int, pos: int) -> int:
-        return _window_of(*each[i], window, pos)
+        return _window_of(*each[i], window, quantum, pos)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,10 +175,9 @@ def _cut(queues: list[str], shares: list[Fraction], totals: list[int], window: i
             for doc_id, queue, ids, n, pos in zip(*[batch.column(i) for i in range(5)], strict=True):
                 doc_id, i, n, pos = doc_id.as_py(), at[queue.as_py()], n.as_py(), pos.as_py()
                 wide = np.frombuffer(ids.as_buffer(), dtype="<u2").astype("<u4")
-                done, w = 0, window_of(i, pos)
+                done = 0
                 while done < n:
-                    while sent(i, w + 1) <= pos:
-                        w += 1
+                    w = window_of(i, pos)
                     now, starts = place(w)
                     whole = starts[i] + pos - now[i]
                     size = min(n - done, sent(i, w + 1) - pos, sequence - whole % sequence)
@@ -191,7 +192,7 @@ def _cut(queues: list[str], shares: list[Fraction], totals: list[int], window: i
     return run
 
 
-def _parts(size: int):
+def _parts(size: int, quantum: int):
     """What each queue sends in each window in which it sends anything."""
     schema = pa.schema([("queue", pa.string()), ("window", pa.int64()), ("sent", pa.int64())])
 
@@ -201,8 +202,8 @@ def _parts(size: int):
             for queue, total, num, den in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 share, pos = Fraction(int(num), int(den)), 0
                 while pos < total:
-                    w = _window_of(share, total, size, pos)
-                    end = _sent(share, total, size, w + 1)
+                    w = _window_of(share, total, size, quantum, pos)
+                    end = _sent(share, total, size, quantum, w + 1)
                     rows.append((queue, w, end - pos))
                     pos = end
                     if len(rows) > 20_000:
@@ -224,7 +225,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(before, pa.int64())], ["queue", "window", "sent", "range", "before"])
 
 
-def _split(size: int):
+def _split(size: int, quantum: int):
     """Documents by the windows of their queue, each with its ids there."""
     schema = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("window", pa.int64()), ("start", pa.int64()), ("skip", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
 
@@ -235,9 +236,9 @@ def _split(size: int):
                 doc_id, queue, ids, n, pos, total = (x.as_py() for x in (doc_id, queue, ids, n, pos, total))
                 share, done = Fraction(int(num.as_py()), int(den.as_py())), 0
                 while done < n:
-                    w = _window_of(share, total, size, pos)
-                    k = min(n - done, _sent(share, total, size, w + 1) - pos)
-                    rows.append((doc_id, queue, w, done, pos - _sent(share, total, size, w), ids[2 * done : 2 * (done + k)], n))
+                    w = _window_of(share, total, size, quantum, pos)
+                    k = min(n - done, _sent(share, total, size, quantum, w + 1) - pos)
+                    rows.append((doc_id, queue, w, done, pos - _sent(share, total, size, quantum, w), ids[2 * done : 2 * (done + k)], n))
                     done, pos = done + k, pos + k
                 held += len(ids)
                 if len(rows) > 20_000 or held > 8_000_000:
@@ -281,7 +282,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, window: int
     sizes = written(table.groupBy("queue", "part").agg(F.sum("n").alias("n")), "queues")
     by_queue = written(sizes.groupBy("queue").agg(F.sum("n").alias("total")), "totals")
     totals = {r["queue"]: r["total"] for r in by_queue.limit(max_queues + 1).collect()}
-    few, size = len(totals) <= max_queues, window * sequence
+    few, size, quantum = len(totals) <= max_queues, window * sequence, max(1, sequence // QUANTA)
     if not totals:
         return spark.createDataFrame([], PIECE)
     if shares is None:
@@ -302,9 +303,9 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, window: int
     placed = table.join(bases, ["queue", "part"]).select("doc_id", "queue", "ids", "n", (F.col("base") + F.col("before")).alias("pos"))
     if few:
         queues = sorted(totals)
-        return placed.mapInArrow(_cut(queues, [share[q] for q in queues], [totals[q] for q in queues], size, sequence), PIECE)
+        return placed.mapInArrow(_cut(queues, [share[q] for q in queues], [totals[q] for q in queues], size, quantum, sequence), PIECE)
     wanted = written(wanted.select("queue", "total", "num", "den"), "shares")
-    parts = written(wanted.mapInArrow(_parts(size), "queue string, window long, sent long"), "parts")
+    parts = written(wanted.mapInArrow(_parts(size, quantum), "queue string, window long, sent long"), "parts")
     ordered = parts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "window", "queue").sortWithinPartitions("window", "queue")
     summed = written(ordered.mapInArrow(_summed, "queue string, window long, sent long, range int, before long"), "places")
     at, ranges = 0, []
@@ -313,6 +314,6 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, window: int
         at += x["n"]
     first = F.broadcast(spark.createDataFrame(ranges, "range int, first long"))
     places = summed.join(first, "range").select("queue", "window", (F.col("first") + F.col("before")).alias("place"))
-    split = placed.join(wanted, "queue").select("doc_id", "queue", "ids", "n", "pos", "total", "num", "den").mapInArrow(_split(size), "doc_id long, queue string, window long, start long, skip long, ids binary, doc_tokens long")
+    split = placed.join(wanted, "queue").select("doc_id", "queue", "ids", "n", "pos", "total", "num", "den").mapInArrow(_split(size, quantum), "doc_id long, queue string, window long, start long, skip long, ids binary, doc_tokens long")
     met = split.join(places, ["queue", "window"]).select("doc_id", "queue", "window", "start", "ids", "doc_tokens", (F.col("place") + F.col("skip")).alias("whole"))
     return met.mapInArrow(_cut_split(sequence), PIECE)

@@ -13,12 +13,18 @@ is cut into chunks of a fixed size. A boundary's state is by how many characters
 reaches into the next chunk; a chunk gives the matrix of its best scores from each state
 at its start to each at its end. Matrices are multiplied in the max-plus semiring, which
 is associative: neighbours first, then pairs of pairs, then downward for each prefix;
-one step back along the boundaries picks their states (of equal ones the least), and
-then each chunk is traced back on its own.
+one step back along the boundaries picks their states, and
+then each chunk is traced back on its own. Of equal paths the same is taken as without
+chunks: a chunk also tells, for each state at its end, which of the states at its start
+come first if their scores are equal (reading from the end, a longer piece comes first,
+and one that began in an earlier chunk before all). The ids of a text are the same for
+every size of chunks.
 
 Characters without a piece are spelled in bytes. Decoding joins pieces and bytes, turns
 word marks into spaces and drops the leading one.
 
+A document's matrices, in bytes about two thirds of its own, meet in one task, as its text did.
+
 Defined results: null text counts as empty and has no ids. The word mark itself
 (U+2581) decodes as a space, all other texts as they were. Repeated rows are encoded
 each; a null doc_id is kept. Other columns are not read. An empty table gives an empty
@@ -71,44 +77,50 @@ class Pieces:
             raise ValueError("pieces must not span words or lines")
         self.unknown = min(s for s, _ in self.scores.values()) - 10 * SCALE
         self.longest = max(map(len, self.scores))
-        self.starts = {p[:k] for p in self.scores for k in range(1, len(p) + 1)}
+        # scores of pieces (negative); 0 for what only begins one
+        self.table = {p[:k]: 0 for p in self.scores for k in range(1, len(p) + 1)} | {p: s for p, (s, _) in self.scores.items()}
         self.spelled = {i: bytes([b]) for b, i in self.bytes.items()} | {i: p.encode() for p, (_, i) in self.scores.items()}
         self.segments = Memo(self._segment, 500_000)
         self.values = Memo(lambda s: self.best(s)[0], 500_000)
         self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
-    def arcs(self, s: str, at: int, end: int) -> Iterator[tuple[int, int]]:
-        """(length, score) of the pieces that begin at a place, shortest first."""
-        for stop in range(at + 1, min(end, at + self.longest) + 1):
-            piece = s[at:stop]
-            if piece not in self.starts:
-                break
-            if found := self.scores.get(piece):
-                yield stop - at, found[0]
-            elif stop == at + 1:
-                yield 1, self.unknown
-        else:
-            return
-        if stop == at + 1:
-            yield 1, self.unknown
+    def _reached(self, s: str, first: int, until: int) -> tuple[list[int], list[int]]:
+        """Of each place the best score of paths from first whose last piece begins before
+        until, and where that piece begins (of equal ones the longest)."""
+        n, get, unknown = len(s), self.table.get, self.unknown
+        score, back = [NEVER] * (n + 1), [-1] * (n + 1)
+        score[first] = 0
+        for at in range(first, min(n, until)):
+            here = score[at]
+            if here == NEVER:
+                continue
+            stop = at + 1
+            value = get(s[at:stop])
+            if not value:  # no piece of its own: spelled in bytes
+                if here + unknown > score[stop]:
+                    score[stop], back[stop] = here + unknown, at
+            while value is not None:
+                if value and here + value > score[stop]:
+                    score[stop], back[stop] = here + value, at
+                stop += 1
+                if stop > n:
+                    break
+                value = get(s[at:stop])
+        return score, back
+
+    @staticmethod
+    def _path(back: list[int], first: int, end: int) -> list[tuple[int, int]]:
+        path = []
+        while end > first:
+            path.append((back[end], end))
+            end = back[end]
+        return path[::-1]
 
     def best(self, s: str, first: int = 0, crossing: int | None = None) -> tuple[int, list[tuple[int, int]]]:
         """Score and (start, end)s of the best path from first to the end of s; with
         crossing, of those whose last piece begins before that place."""
-        n = len(s)
-        score, back = [NEVER] * (n + 1), [-1] * (n + 1)
-        score[first] = 0
-        for at in range(first, n if crossing is None else min(n, crossing)):
-            if score[at] > NEVER:
-                for size, value in self.arcs(s, at, n):
-                    if score[at] + value > score[at + size]:
-                        score[at + size], back[at + size] = score[at] + value, at
-        path, end = [], n
-        if score[n] > NEVER:
-            while end > first:
-                path.append((back[end], end))
-                end = back[end]
-        return score[n], path[::-1]
+        score, back = self._reached(s, first, len(s) if crossing is None else crossing)
+        return score[-1], self._path(back, first, len(s)) if score[-1] > NEVER else []
 
     def ids(self, s: str, path: list[tuple[int, int]]) -> bytes:
         out = []
@@ -136,34 +148,45 @@ class Pieces:
                 first, last = m.start() if first is None else first, m.start()
         return first, last
 
-    def forward(self, s: str, first: int, size: int) -> np.ndarray:
-        """Best scores from a place to the chunk's end by how far the last piece reaches over it."""
-        score = [NEVER] * (size + self.longest + 1)
-        score[first] = 0
-        for at in range(first, size):
-            if score[at] > NEVER:
-                for n, value in self.arcs(s, at, len(s)):
-                    score[at + n] = max(score[at + n], score[at] + value)
-        return np.array(score[size : size + self.longest], dtype=np.int64)
+    def _over(self, score: list[int], size: int) -> np.ndarray:
+        """Scores by how far the last piece reaches over a chunk's end."""
+        out = np.full(self.longest, NEVER, dtype=np.int64)
+        found = score[size : size + self.longest]
+        out[: len(found)] = found
+        return out
 
     def matrix(self, s: str, size: int) -> np.ndarray:
-        """Scores from state to state of a chunk: s is its own part and what follows it."""
+        return self.matrix_and_ranks(s, size)[0]
+
+    def matrix_and_ranks(self, s: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores from state to state of a chunk, and of each the rank among those of the
+        same end if scores are equal: s is the chunk's own part and what follows it."""
         m = self.longest
-        out = np.full((m, m), NEVER, dtype=np.int64)
+        out, ranks = np.full((m, m), NEVER, dtype=np.int64), np.full((m, m), m, dtype=np.uint8)
+
+        def rank(j, paths: dict[int, list[tuple[int, int]]]) -> None:
+            keys = {i: [*(a - b for a, b in reversed(path)), -len(s) - m] for i, path in paths.items()}
+            for k, i in enumerate(sorted(keys, key=keys.__getitem__)):
+                ranks[i, j] = k
+
         first, last = self.edges(s, size)
         if first is None:
-            for i in range(min(m, size)):
-                out[i] = self.forward(s, i, size)
+            found = {i: self._reached(s, i, size) for i in range(min(m, size))}
+            for i, (score, _) in found.items():
+                out[i] = self._over(score, size)
             for i in range(size, m):  # a piece that covers the whole chunk
                 out[i, i - size] = 0
-            return out
+            for j in range(min(m, len(s) - size + 1)):
+                rank(j, {i: self._path(back, i, size + j) for i, (score, back) in found.items() if score[size + j] > NEVER} | ({size + j: []} if size + j < m else {}))
+            return out, ranks
         middle = sum(map(self.values.__getitem__, self.cut.findall(s[first:last])))
-        rest = self.forward(s[last:], 0, size - last)
-        for i in range(min(m, first + 1)):
-            head = self.best(s[:first], i)[0]
+        rest = self._over(self._reached(s[last:], 0, size - last)[0], size - last)
+        heads = {i: self.best(s[:first], i) for i in range(min(m, first + 1))}
+        for i, (head, _) in heads.items():
             if head > NEVER:
                 out[i] = np.where(rest > NEVER, head + middle + rest, NEVER)
-        return out
+        rank(slice(None), {i: path for i, (head, path) in heads.items() if head > NEVER})
+        return out, ranks
 
     def trace(self, s: str, size: int, enter: int, leave: int) -> bytes:
         """The ids of the pieces that begin in a chunk, between two states."""
@@ -200,12 +223,14 @@ def prefixes(ms: np.ndarray) -> np.ndarray:
     return out
 
 
-def states(ms: np.ndarray) -> list[int]:
-    """The best path's states at all boundaries of a document, both ends included."""
+def states(ms: np.ndarray, ranks: np.ndarray | None = None) -> list[int]:
+    """The best path's states at all boundaries of a document, both ends included (without ranks: of equal ones the least)."""
+    ranks = np.zeros(ms.shape, dtype=np.uint8) if ranks is None else ranks
     reach = prefixes(ms)[:, 0, :]
     out = [0]
     for k in range(len(ms) - 1, -1, -1):
-        out.append(int(np.argmax(reach[k] + ms[k][:, out[-1]])))
+        total = reach[k] + ms[k][:, out[-1]]
+        out.append(int(np.argmin(np.where(total == total.max(), ranks[k][:, out[-1]], 255))))
     return out[::-1]
 
 
@@ -243,7 +268,7 @@ def _whole(path: str):
 
 
 def _chunked(path: str, size: int):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("chunk", pa.int32()), ("size", pa.int32()), ("s", pa.string()), ("matrix", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("chunk", pa.int32()), ("size", pa.int32()), ("s", pa.string()), ("matrix", pa.binary()), ("ranks", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
@@ -253,7 +278,7 @@ def _chunked(path: str, size: int):
                 sha = hashlib.sha256(text.as_py().encode()).hexdigest()
                 for k, at in enumerate(range(0, len(s), size)):
                     part, n = s[at : at + size + own.longest - 1], min(size, len(s) - at)
-                    yield _batch([(row.as_py(), doc_id.as_py(), sha, k, n, part, own.matrix(part, n).tobytes())], schema)
+                    yield _batch([(row.as_py(), doc_id.as_py(), sha, k, n, part, *(x.tobytes() for x in own.matrix_and_ranks(part, n)))], schema)
 
     return run
 
@@ -264,7 +289,8 @@ def _stated(longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 1):
             ms = np.stack([np.frombuffer(x.as_buffer(), np.int64).reshape(longest, longest) for x in t.column("matrix")])
-            found = states(ms)
+            ranks = np.stack([np.frombuffer(x.as_buffer(), np.uint8).reshape(longest, longest) for x in t.column("ranks")])
+            found = states(ms, ranks)
             row = t.column("row")[0].as_py()
             yield _batch([(row, k, found[k], found[k + 1]) for k in range(len(ms))], schema)
 
@@ -283,6 +309,12 @@ def _traced(path: str):
     return run
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, parts, chunks, sha in zip(*batch.columns, strict=True):
+            yield _batch([(doc_id.as_py(), b"".join(parts.as_py()), chunks.as_py(), sha.as_py())], _ENCODED)
+
+
 def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, ids (16-bit little-endian numbers), chunks, text_sha256 of every row. Chunks
     of giant documents are rows of their own, dealt out anew at each step."""
@@ -290,14 +322,14 @@ def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -
     longest = pieces(path).longest
     small = base.filter(F.length("text") <= giant).mapInArrow(_whole(path), ENCODED)
     large = base.filter(F.length("text") > giant).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    cut = written(large.mapInArrow(_chunked(path, chunk), "row long, doc_id long, text_sha256 string, chunk int, size int, s string, matrix binary"), "chunks")
-    by_row = cut.select("row", "chunk", "matrix").repartition("row").sortWithinPartitions("row", "chunk")
+    cut = written(large.mapInArrow(_chunked(path, chunk), "row long, doc_id long, text_sha256 string, chunk int, size int, s string, matrix binary, ranks binary"), "chunks")
+    by_row = cut.select("row", "chunk", "matrix", "ranks").repartition("row").sortWithinPartitions("row", "chunk")
     stated = written(by_row.mapInArrow(_stated(longest), "row long, chunk int, enter int, leave int"), "states")
-    met = cut.drop("matrix").join(stated, ["row", "chunk"])
+    met = cut.drop("matrix", "ranks").join(stated, ["row", "chunk"])
     traced = met.mapInArrow(_traced(path), "row long, doc_id long, text_sha256 string, chunk int, ids binary")
     joined = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    ids = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"]))
-    return small.unionByName(joined.select("doc_id", ids.alias("ids"), F.size("parts").alias("chunks"), "text_sha256"))
+    whole = joined.select("doc_id", F.transform("parts", lambda p: p["ids"]).alias("parts"), F.size("parts").alias("chunks"), "text_sha256")
+    return small.unionByName(whole.mapInArrow(_together, ENCODED))
 
 
 def decode(encoded: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
