@@ -96,3 +96,77 @@ def test_misspelt_words_of_learned_stems(spark):
     assert ("zork", True) in terms
     assert all(own.match(w)[1] == 0 for w in ("zorken", "zorking", "zorkest", "zorkish"))
     assert all(own.match(w)[1] == 1 for w in ("zokest", "zirken", "xorking"))
+
+
+def test_stray_marks_and_apostrophes():
+    s = toxicity.Scorer([("idiot", False)])
+    f = lambda t: s.features(t.encode())
+    plain = f("ok fine good nice well then so you are an idiot")
+    for stray in ('the 5" pipe burst ok. ', 'the 5" pipe burst ok ', "'tis ok fine ", "the dogs' bowl ", '"never closed ok. ', "don't rock 'n roll ", "« ok ", "it’s ‘ "):
+        got = f(f"{stray}fine good nice well then so you are an idiot fine good")
+        assert got[0] == plain[0] and got[2] == 0 and got[3] == plain[3], stray
+    for quoted in ('"you are an idiot" ok', "“an idiot”, fine", "„ein idiot“ ja", "«un idiot» oui", "'an idiot.' ok", "(“idiot”) ok", '*"an idiot!"* ok', "‘such an idiot’ ok"):
+        got = f(f"the man went home and {quoted}")
+        assert got[0] == 0 and got[2] > 0, quoted
+    assert f('"fine. you idiot. fine" ok')[0] > 0
+
+
+def brute_features(text, terms):
+    """Of one-word terms, by edit distances, word by word."""
+    import math
+    import re
+
+    words = (text or "").encode().lower().split()
+    words = [w.decode() for w in words]
+    inside = toxicity.quotations(words)
+    n = dict.fromkeys(("plain", "inexact", "quoted", "addressed"), 0)
+    for i, w in enumerate(words):
+        found = []
+        for p in re.findall(r"[^\W_]+", w.lower()):
+            e = min((edit(p, t) for t in terms if edit(p, t) <= toxicity.edits_for(len(t))), default=None)
+            found += [] if e is None else [e]
+        if not found:
+            for p in re.findall(r"[^\W_]*[@$0-9][\w@$]*", w.lower()):
+                p = p.translate(str.maketrans("013457@$", "oieastas"))
+                e = min((edit(p, t) for t in terms if edit(p, t) <= toxicity.edits_for(len(t))), default=None)
+                found += [] if e is None else [max(1, e)]
+        near = {x.strip(".,;:!?()'\"“”„«»") for x in words[max(0, i - 6) : i + 7]}
+        told = i in inside or bool(near & toxicity.REPORTING)
+        for e in found:
+            n["quoted" if told else "inexact" if e else "plain"] += 1
+            n["addressed"] += bool(near & toxicity.ADDRESS) and not told
+    total = n["plain"] + n["inexact"] + n["quoted"]
+    return [math.log1p(n[k]) for k in ("plain", "inexact", "quoted", "addressed")] + [min(1.0, total / len(words) * 10)] if total else None
+
+
+def test_features_of_whole_texts_against_brute_force():
+    terms = ["idiot", "moron", "worthless", "scum"]
+    s, r = toxicity.Scorer([(t, False) for t in terms]), random.Random(5)
+    bits = ["idiot", "Idoit,", "m0ron", "worthles", "scum.", '"scum"', "you", "said", "fine", "day", "é", "'tis", '5"', '"so', 'yes"', "end.", "id10t!", "x_idiot_y", "WORTHLESS", "wortless"]
+    for n in [*range(0, 40)] * 3 + [4000]:
+        t = " ".join(r.choice(bits) if r.random() < 0.4 else r.choice(["fine", "day", "so", "then", "le"]) for _ in range(n))
+        got, want = s.features(t.encode()), brute_features(t, terms)
+        assert (got is None) == (want is None) and (got is None or all(abs(a - b) < 1e-12 for a, b in zip(got, want, strict=True))), t
+
+
+def test_terms_of_any_length_are_learned(spark):
+    r = random.Random(4)
+    told = ["q", "zz", "longword" * 7]
+    rows = []
+    for i in range(600):
+        words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(20)]
+        if i % 4 == 0:
+            words[r.randrange(20)] = told[i // 4 % 3]
+        rows.append((" ".join(words), int(i % 4 == 0)))
+    terms = toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {(t, False) for t in told} <= set(terms)
+
+
+def test_repeated_ids_and_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "you idiot", "k")] * 50 + [(2, "fine", "k")] * 50, "doc_id long, text string, toxic string").selectExpr("*", "1 as _id", "2 as _doc", "3 as score", "4 as term")
+    labels = spark.createDataFrame([(1, 1, 1)] * 60 + [(1, 1, 0), (2, 0, 0)] + [(2, 1, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs, labels, fit_rows=3).groupBy("doc_id", "predicted").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 50), (2, 0, 50)]
+    long = spark.createDataFrame([(1, "fine day " * 200_000 + "you idiot"), (2, "x" * 500_000)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score(long, labels.limit(0)).collect()}
+    assert 0 < scores[2] < scores[1] < 1

@@ -9,15 +9,18 @@ be one edit off, of nine two, the first letter included; so may the beginning th
 against a stem.
 
 Each hit is weighed by its window: inside quotation marks or near words of reporting it
-is a quotation, near words of address it is abuse. A logistic regression over the
+is a quotation, near words of address it is abuse. A quotation runs from an opening mark to
+the first closing mark of its kind in the same sentence; a mark without the other (an
+apostrophe, an inch) opens nothing. A logistic regression over the
 document's hits gives the score; its prior holds quotations at half the weight of plain
 hits where the labels tell nothing about them.
 
-Labels are read from at most FIT_ROWS rows or so, a share of the labelled rows taken by
-a hash of the id; rows held out are never among them.
+Labels are read from at most FIT_ROWS ids, those of the least hashes; an id that repeats
+counts as toxic if any of its labels does, and its least text stands for it. Rows held out are never
+among them. All that is learned from these is bounded by them.
 
 Defined results: null text counts as empty; an empty text has the score of no hits.
-Repeated rows are scored alike. Without labels of both kinds the seeds and the prior
+A very long text is scored whole, in one pass over its words. Repeated rows are scored alike. Without labels of both kinds the seeds and the prior
 remain. A null id has the remainder of the empty text. Other columns are not read."""
 
 from __future__ import annotations
@@ -35,18 +38,22 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import Memo, crc_mod, text_of, written
 
-#: About so many labelled rows are fitted at most.
+#: So many labelled rows are fitted at most.
 FIT_ROWS = 20_000
-#: The lexicon's size at most; the terms that tell most.
-MAX_TERMS = 5_000
 WINDOW = 6
 SEEDS = ("idiot", "moron", "stupid", "trash", "loser", "pathetic", "scum", "worthless", "clown", "disgusting")
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes word words term reported tweeted claimed dit dijo sagte schrieb palabra wort mot".split())
 ADDRESS = frozenset("you your you're youre yourself u ur du dich dein tu te toi vous tú usted eres".split())
 LEET = str.maketrans("013457@$", "oieastas")
-QUOTES = re.compile("[\"“”„«»]|(?<!\\w)['‘]|['’](?!\\w)")
+#: Opening marks, and what closes each.
+CLOSING = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "'": "'’", "‘": "’"}
+MARKS = re.compile("[\"“”„«»'‘’]")
+OPENS = re.compile("[(\\[{*]*([\"“„«»'‘])(?=[\\w@$*])")
+CLOSES = re.compile("[\\w.,;:!?*%$@)-]([\"“”«»'’])[.,;:!?)\\]}*…-]*$")
+SENTENCE = re.compile("[.!?…][\"“”«»'’)\\]}*]*$")
 PIECES = re.compile(r"[^\W_]+")
-OBSCURED = re.compile(r"[^\W_]*[@$0-9][\w@$]*")
+#: From where letters begin, so that no long word takes more than linear time.
+OBSCURED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[@$0-9][\w@$]*")
 STEM_LENGTHS = (4, 5, 6, 7)
 #: Nats by which a term must beat chance, by documents and by places.
 MARGINS = (-1.0, 3.0)
@@ -141,6 +148,26 @@ class Automaton:
         return end if end and (not stem or end[1] <= stem[1]) else stem
 
 
+def quotations(words: list[str]) -> set[int]:
+    """The places of the words inside quotations."""
+    inside: set[int] = set()
+    at, closing = None, ""
+    for i, w in enumerate(words):
+        if MARKS.search(w):
+            opens, closes = OPENS.match(w), CLOSES.search(w)
+            if closes and at is not None and closes[1] in closing:
+                inside.update(range(at, i + 1))
+                at = None
+            elif opens:
+                at, closing = i, CLOSING[opens[1]]
+                if closes and closes[1] in closing:
+                    inside.add(i)
+                    at = None
+        if SENTENCE.search(w):
+            at = None
+    return inside
+
+
 class Scorer:
     """The features of texts under one lexicon."""
 
@@ -163,16 +190,12 @@ class Scorer:
         if not any(hits):
             return None
         plain = inexact = quoted = addressed = 0.0
-        open_quotes, counted = 0, 0
+        inside = quotations([w.decode() for w in words])
         for i, h in enumerate(hits):
             if not h:
                 continue
-            before = b" ".join(words[counted:i]).decode()
-            open_quotes += len(QUOTES.findall(before))
-            counted = i
             near = [w.decode().strip(".,;:!?()'\"“”„«»") for w in words[max(0, i - WINDOW) : i + WINDOW + 1]]
-            inside = open_quotes % 2 == 1 or QUOTES.match(words[i].decode()) is not None
-            told = inside or bool(REPORTING.intersection(near))
+            told = i in inside or bool(REPORTING.intersection(near))
             for e in h:
                 if told:
                     quoted += 1
@@ -198,7 +221,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             words = {p for w in set(text.as_py().encode().lower().split()) for p in PIECES.findall(w.decode().lower())}
-            counts[toxic].update((w, False) for w in words if 3 <= len(w) <= 40)
+            counts[toxic].update((w, False) for w in words)
             counts[toxic].update({(w[:n], True) for w in words for n in STEM_LENGTHS if len(w) > n})
             if len(counts[0]) + len(counts[1]) > 400_000:
                 yield out()
@@ -263,8 +286,10 @@ def lexicon(labelled: DataFrame) -> list[tuple[str, bool]]:
         at_least[n] = above
     llr = F.col("pos") * F.ln(F.col("pos") / (F.col("n") * base)) + F.when(F.col("neg") > 0, F.col("neg") * F.ln(F.col("neg") / (F.col("n") * (1 - base)))).otherwise(0.0)
     precise = F.col("pos") >= F.col("n") * max(0.5, 2 * base / (1 + base))
-    likely = counts.filter((F.col("pos") > 2) & precise).withColumn("llr", llr).filter("llr > 4").orderBy(F.desc("llr"), "term", "is_stem").limit(MAX_TERMS).collect()
-    told = {(r["term"], r["is_stem"]): r["n"] for r in likely if r["llr"] >= math.log(at_least[r["n"]]) + MARGINS[0]}
+    chance = labelled.sparkSession.createDataFrame([(n, math.log(k) + MARGINS[0]) for n, k in at_least.items()], "n long, chance double")
+    # no more of them than terms in the fitted rows
+    likely = counts.filter((F.col("pos") > 2) & precise).withColumn("llr", llr).filter("llr > 4").join(F.broadcast(chance), "n").filter("llr >= chance").collect()
+    told = {(r["term"], r["is_stem"]): r["n"] for r in likely}
     if not told:
         return seeds
     places = single.mapInArrow(_places(sorted(told)), "term string, is_stem boolean, toxic int, place long").distinct()
@@ -334,16 +359,14 @@ def _score(terms, weights: list[float]):
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[tuple[str, bool]], list[float]]:
     """The lexicon and the weights, from labelled rows that are not held out."""
-    known = labels.filter("toxic is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.filter(crc_mod("_id", 5) != 0)
-    n = known.count()
-    if n > fit_rows:  # a share by hash
-        known = known.filter(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
-    # about fit_rows pairs of numbers go to all tasks
+    known = labels.filter("toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = written(known.filter(crc_mod("_id", 5) != 0).orderBy(F.xxhash64(F.lit(5), "_id"), "_id").limit(fit_rows), "known")
+    # at most fit_rows pairs of numbers go to all tasks, and one text of each comes back
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), text_of().alias("text"))
-    labelled = written(texts.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("text", "toxic"), "labelled")
+    met = texts.join(F.broadcast(known), F.col("_doc") == F.col("_id"))
+    labelled = written(met.groupBy("_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "labelled")
     terms = lexicon(labelled)
-    rows = labelled.mapInArrow(_features(terms), "x array<double>, toxic int").collect()  # about fit_rows at most
+    rows = labelled.mapInArrow(_features(terms), "x array<double>, toxic int").collect()  # fit_rows at most
     if not rows:
         return terms, [*PRIOR.tolist(), PRIOR_BIAS]
     return terms, fit(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows])).tolist()
