@@ -2,7 +2,7 @@
 
 Every source is a queue of its documents' tokens. In each window, one sequence by default, a queue
 is owed its share of the window (by default its share of all tokens). It sends what it is
-owed in whole quanta (a 32nd of a sequence), and what is left is a deficit that it carries into the next
+owed in whole quanta (an eighth of a sequence), and what is left is a deficit that it carries into the next
 window: after w windows it has sent share * window * w tokens less a part of a quantum,
 wherever its documents lie. The order of the rounds
 being fixed, the place of each token follows from its place in its queue by arithmetic
@@ -43,7 +43,7 @@ SEQUENCE = 2048
 #: Proportions hold in windows of so many sequences; in longer ones documents are cut less.
 WINDOW = 1
 #: Queues send in quanta, of which a sequence has so many: no piece is cut to a token or two.
-QUANTA = 32
+QUANTA = 8
 END_ID = 1
 #: Queues up to which all tasks hold their totals and shares.
 MAX_QUEUES = 256
@@ -129,23 +129,26 @@ def _encode(path: str):
     return run
 
 
-def _sent(share: Fraction, total: int, size: int, quantum: int, w: int) -> int:
-    """What a queue has sent before window w: whole quanta, or all."""
-    owed = share.numerator * size * w // share.denominator
+Share = tuple[int, int]
+
+
+def _sent(share: Share, total: int, size: int, quantum: int, w: int) -> int:
+    """What a queue has sent before window w: whole quanta, or all. A share is a fraction's two numbers."""
+    owed = share[0] * size * w // share[1]
     return total if owed >= total else owed // quantum * quantum
 
 
-def _window_of(share: Fraction, total: int, size: int, quantum: int, pos: int) -> int:
+def _window_of(share: Share, total: int, size: int, quantum: int, pos: int) -> int:
     """The window in which a queue sends its token at pos: that in which the quantum is owed."""
     need = min(total, (pos // quantum + 1) * quantum)
-    return -(-need * share.denominator // (share.numerator * size)) - 1
+    return -(-need * share[1] // (share[0] * size)) - 1
 
 
 def _cut(queues: list[str], shares: list[Fraction], totals: list[int], window: int, quantum: int, sequence: int):
     """Pieces of documents whose place in their queue is known."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("source", pa.string()), ("window", pa.int64())])
     at = {q: i for i, q in enumerate(queues)}
-    each = list(zip(shares, totals, strict=True))
+    each = [((s.numerator, s.denominator), n) for s, n in zip(shares, totals, strict=True)]
 
     def sent(i: int, w: int) -> int:
         """What queue i has sent before window w."""
@@ -174,15 +177,16 @@ def _cut(queues: list[str], shares: list[Fraction], totals: list[int], window: i
             rows = []
             for doc_id, queue, ids, n, pos in zip(*[batch.column(i) for i in range(5)], strict=True):
                 doc_id, i, n, pos = doc_id.as_py(), at[queue.as_py()], n.as_py(), pos.as_py()
-                wide = np.frombuffer(ids.as_buffer(), dtype="<u2").astype("<u4")
-                done = 0
+                wide = memoryview(np.frombuffer(ids.as_buffer(), dtype="<u2").astype("<u4").view(np.uint8))
+                done, left = 0, 0
                 while done < n:
-                    w = window_of(i, pos)
-                    now, starts = place(w)
-                    whole = starts[i] + pos - now[i]
-                    size = min(n - done, sent(i, w + 1) - pos, sequence - whole % sequence)
-                    rows.append((doc_id, done, size, zlib.crc32(wide[done : done + size]), n, whole // sequence, whole % sequence, queues[i], w))
-                    done, pos = done + size, pos + size
+                    if not left:  # what the queue sends in the next window in which it sends
+                        w = window_of(i, pos)
+                        now, starts = place(w)
+                        left, whole = sent(i, w + 1) - pos, starts[i] + pos - now[i]
+                    size = min(n - done, left, sequence - whole % sequence)
+                    rows.append((doc_id, done, size, zlib.crc32(wide[4 * done : 4 * (done + size)]), n, whole // sequence, whole % sequence, queues[i], w))
+                    done, pos, left, whole = done + size, pos + size, left - size, whole + size
                 if len(rows) > 20_000:
                     yield _arrow(rows, schema)
                     rows = []
@@ -200,7 +204,7 @@ def _parts(size: int, quantum: int):
         for batch in batches:
             rows = []
             for queue, total, num, den in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                share, pos = Fraction(int(num), int(den)), 0
+                share, pos = (int(num), int(den)), 0
                 while pos < total:
                     w = _window_of(share, total, size, quantum, pos)
                     end = _sent(share, total, size, quantum, w + 1)
@@ -234,7 +238,7 @@ def _split(size: int, quantum: int):
             rows, held = [], 0
             for doc_id, queue, ids, n, pos, total, num, den in zip(*batch.columns, strict=True):
                 doc_id, queue, ids, n, pos, total = (x.as_py() for x in (doc_id, queue, ids, n, pos, total))
-                share, done = Fraction(int(num.as_py()), int(den.as_py())), 0
+                share, done = (int(num.as_py()), int(den.as_py())), 0
                 while done < n:
                     w = _window_of(share, total, size, quantum, pos)
                     k = min(n - done, _sent(share, total, size, quantum, w + 1) - pos)
