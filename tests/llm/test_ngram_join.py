@@ -70,3 +70,10 @@ def test_one_of_each(spark):
     assert out.columns == ["doc_id", "text", "comp"]
     assert sorted(r.doc_id for r in out.collect()) == sorted({r[5] for r in brute(docs)})
     assert ngram_join.similar(df.limit(0)).count() == 0
+
+
+def test_order_of_keys(spark):
+    ids = [None, 0, 1, -1, 2**63 - 1, -(2**63), 255, 256, -256]
+    df = spark.createDataFrame([(i,) for i in ids], "i long").select("i", ngram_join._first("i").alias("k")).select("i", "k", ngram_join._class_of("k").alias("j"))
+    rows = sorted(df.collect(), key=lambda r: bytes(r.k))
+    assert [r.i for r in rows] == [*sorted(i for i in ids if i is not None), None] and all(r.i == r.j and len(r.k) == 9 for r in rows)

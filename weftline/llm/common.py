@@ -43,15 +43,20 @@ def crc_mod(c: str, n: int) -> Column:
 
 
 class Memo(dict):
-    """fn's results, kept up to a bound so that memory does not follow the vocabulary."""
+    """fn's results. Up to bound of them are at hand and as many from before, so that
+    memory does not follow the vocabulary and what is used often is not worked out anew."""
 
-    def __init__(self, fn: Callable, bound: int = 400_000):
-        self.fn, self.bound = fn, bound
+    def __init__(self, fn: Callable, bound: int = 200_000):
+        self.fn, self.bound, self.before = fn, bound, {}
 
     def __missing__(self, key):
         if len(self) >= self.bound:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.fn(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.fn(key)
+        self[key] = value
         return value
 
 

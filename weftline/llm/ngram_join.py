@@ -32,7 +32,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import Memo, components, runs, text_of, written
@@ -45,6 +45,8 @@ STEP = 20
 TOLERANCE = 1e-9
 #: Classes in a block; two blocks meet in a task.
 BLOCK = 256
+#: Components of more than a block up to which their sizes are broadcast.
+BROADCAST_SIZES = 500_000
 #: Shingles hashed at a time.
 CHUNK = 65_536
 
@@ -53,7 +55,7 @@ MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np
 ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
-_hashes = Memo(xxhash.xxh3_64_intdigest, 600_000)
+_hashes = Memo(xxhash.xxh3_64_intdigest, 300_000)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -149,7 +151,7 @@ def _members(n: int):
                 rows = []
                 for comp, key, class_size, size, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
                     text = text.encode()
-                    if _key(text) == key:  # else it is another row of that id
+                    if _key(text) == key[-16:]:  # else it is another row of that id
                         rows.append((comp, key, class_size, size, shingles(word_hashes(text), n)))
                 if rows:
                     sigs = (minhashes([r[4] for r in rows]) >> np.uint64(48)).astype(np.uint16)
@@ -258,17 +260,31 @@ def _compare(threshold: float, tolerance: float):
     return run
 
 
+def _first(c: str) -> Column:
+    """Nine bytes in the order of a number, null last."""
+    digits = F.lpad(F.hex(F.coalesce(F.col(c), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.unhex(F.concat(F.when(F.col(c).isNull(), "01").otherwise("00"), digits))
+
+
+def _class_of(c: str) -> Column:
+    digits = F.hex(F.substring(c, 1, 9))
+    number = F.conv(F.substring(digits, 3, 16), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(F.substring(digits, 1, 2) == "00", number)
+
+
 def similar(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id, class_size, n_links, n_linked_docs, cluster_id of every row."""
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     signed = written(rows.mapInArrow(_sign(n), "doc_id long, key binary, bands array<long>"), "signed")
-    classes = written(signed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.first("bands").alias("bands")), "classes")
+    classes = written(signed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.first("bands").alias("bands")).select(F.col("key").alias("words"), F.concat(_first("class_id"), "key").alias("key"), "class_id", "class_size", "bands"), "classes")
     banded = classes.select("key", F.explode("bands").alias("band"))
     shared = written(banded.groupBy("band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b"), "bands")
     stars = banded.join(shared, "band").select(F.col("key").alias("a"), "b").filter("a != b").distinct()
     near = written(components(stars, "candidates"), "near")
-    sizes = written(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    who = near.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("comp"), "size")
+    # what is smaller than a block is one block, whatever its size
+    sizes = written(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block), "sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_SIZES else sizes
+    who = near.join(sizes, "root", "left").select(F.col("node").alias("key"), F.col("root").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
     who = written(who.join(classes.select("key", "class_id", "class_size"), "key"), "members")
     # by shuffle at every size: who grows with the documents
     met = rows.join(who.hint("merge"), rows["doc_id"].eqNullSafe(who["class_id"])).select("comp", "key", "class_size", "size", "text")
@@ -281,12 +297,11 @@ def similar(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tol
     found = written(dealt.mapInArrow(_compare(threshold, tolerance), "key binary, other binary, links long, docs long"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     joined = components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")), "clusters")
-    roots = joined.join(classes.select("key", "class_id"), joined["node"] == classes["key"]).select("node", "root", "class_id")
-    least = roots.groupBy("root").agg(F.min("class_id").alias("cluster_id"))
-    clusters = roots.join(least, "root").select(F.col("node").alias("key"), "cluster_id")
-    known = classes.select("key", "class_id", "class_size").join(links, "key", "left").join(clusters, "key", "left")
+    # keys begin with the class id, so that a component's root is its least class
+    clusters = joined.select(F.col("node").alias("key"), _class_of("root").alias("cluster_id"))
+    known = classes.select("words", "key", "class_id", "class_size").join(links, "key", "left").join(clusters, "key", "left")
     known = written(
-        known.select("key", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("n_links"), (F.coalesce("docs", F.lit(0)) + F.col("class_size") - 1).alias("n_linked_docs"), F.coalesce("cluster_id", "class_id").alias("cluster_id")), "known"
+        known.select(F.col("words").alias("key"), "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("n_links"), (F.coalesce("docs", F.lit(0)) + F.col("class_size") - 1).alias("n_linked_docs"), F.coalesce("cluster_id", "class_id").alias("cluster_id")), "known"
     )
     return signed.select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "class_size", "n_links", "n_linked_docs", "cluster_id")
 

@@ -71,8 +71,8 @@ class Encoder:
         if self.whole.get_vocab_size() > 65_536:
             raise ValueError("ids must fit in 16 bits")
         self.model, self.level = self.whole.model, byte_level()
-        self.units = Memo(self._unit, 400_000)
-        self.words = Memo(self._word, 600_000)
+        self.units = Memo(self._unit, 150_000)
+        self.words = Memo(self._word, 250_000)
 
     def _unit(self, unit: str) -> bytes:
         mapped = unit if unit.isascii() else "".join(map(self.level.__getitem__, unit.encode()))

@@ -80,8 +80,11 @@ class Pieces:
         # scores of pieces (negative); 0 for what only begins one
         self.table = {p[:k]: 0 for p in self.scores for k in range(1, len(p) + 1)} | {p: s for p, (s, _) in self.scores.items()}
         self.spelled = {i: bytes([b]) for b, i in self.bytes.items()} | {i: p.encode() for p, (_, i) in self.scores.items()}
-        self.segments = Memo(self._segment, 500_000)
-        self.values = Memo(lambda s: self.best(s)[0], 500_000)
+        self.segments = Memo(self._segment, 250_000)
+        self.parts = Memo(lambda s: self.ids(s, self.best(s)[1]), 100_000)
+        self.values = Memo(lambda s: self.best(s)[0], 100_000)
+        # letters that stand side by side in a piece: no piece spans any other place
+        self.inner = {p[k : k + 2] for p in self.scores for k in range(len(p) - 1)}
         self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
     def _reached(self, s: str, first: int, until: int) -> tuple[list[int], list[int]]:
@@ -130,7 +133,12 @@ class Pieces:
         return np.array(out, dtype="<u2").tobytes()
 
     def _segment(self, s: str) -> bytes:
-        return self.ids(s, self.best(s)[1])
+        out, start, inner = b"", 0, self.inner
+        for k in range(1, len(s)):
+            if s[k - 1 : k + 1] not in inner:
+                out += self.parts[s[start:k]]
+                start = k
+        return out + self.parts[s[start:]] if start else self.ids(s, self.best(s)[1])
 
     def encode(self, marked: str) -> bytes:
         return b"".join(map(self.segments.__getitem__, self.cut.findall(marked)))

@@ -173,7 +173,7 @@ class Scorer:
 
     def __init__(self, terms: list[tuple[str, bool]]):
         self.automaton = Automaton(terms)
-        self.seen = Memo(self._hits, 600_000)
+        self.seen = Memo(self._hits, 300_000)
 
     def _hits(self, raw: bytes) -> tuple:
         """(edits, ...) of the hits in a token that white space bounds."""
