@@ -56,3 +56,14 @@ def test_crowded_and_odd_rows(spark):
     assert whole(got, None, "unknown")[0] == "<|assistant|>\nx<|end|>\n"
     assert not [r for r in got if r.conv_id == 2]
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_very_long_turns_and_names_that_clash(spark):
+    long = "word <|end|> é" * 40_000
+    rows = [(1, 0, "ann", long), (1, 1, "bob", "x" * 500_000), (2, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as participant", "2 as bucket", "3 as spans", "4 as _c", "5 as parts", "6 as salt")
+    got = chat.rotate(df).collect()
+    for who in ("ann", "bob"):
+        text, spans, _ = whole(got, 1, who)
+        assert (text, spans) == brute([(r, t) for c, _, r, t in rows if c == 1], who)
+    assert [r.participant for r in got if r.conv_id == 2] == ["unknown"]

@@ -59,3 +59,25 @@ def test_few_rows(spark):
     same = fingerprint.fingerprints(spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "doc_id long, text string")).collect()
     assert len(same) == 3
     assert fingerprint.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_an_id_that_repeats_is_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "HOT_LEAST", 20)
+    docs = [(i, f"other {i} words") for i in range(40)] + [(17, f"many rows of one id {i % 150} {'x' * (i % 7)}") for i in range(300)] + [(None, f"null {i}") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    buckets = {r[0]: r[1] for r in fingerprint._dealt(df).filter("not _guest and doc_id = 17").groupBy("_bucket").count().collect()}
+    assert len(buckets) > 5 and sum(buckets.values()) == 301 and max(buckets.values()) < 100
+    rows = df.select("doc_id", "text", F.xxhash64("text").alias("m")).collect()
+    rows.sort(key=lambda r: (-(1 << 63) if r.doc_id is None else r.doc_id, r.m), reverse=True)
+    want = []
+    for k, r in enumerate(rows):
+        n, nxt = len(r.text), rows[(k + 1) % len(rows)].text
+        want.append((r.doc_id is None, r.doc_id or 0, hashlib.sha256((r.text[: n - n // 3] + nxt[: n // 3]).encode()).hexdigest()))
+    got = [(r.doc_id is None, r.doc_id or 0, r.edited_sha256) for r in fingerprint.fingerprints(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "some words " * 50_000), (2, "x" * 300_000), (3, "some words")], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.fingerprints(df).collect()}
+    assert got[1].n_chars == 550_000 and got[2].n_chars == 300_000 and len(got) == 3

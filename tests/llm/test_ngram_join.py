@@ -77,3 +77,14 @@ def test_order_of_keys(spark):
     df = spark.createDataFrame([(i,) for i in ids], "i long").select("i", ngram_join._first("i").alias("k")).select("i", "k", ngram_join._class_of("k").alias("j"))
     rows = sorted(df.collect(), key=lambda r: bytes(r.k))
     assert [r.i for r in rows] == [*sorted(i for i in ids if i is not None), None] and all(r.i == r.j and len(r.k) == 9 for r in rows)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**6)}" for _ in range(ngram_join.CHUNK + 5000)]
+    near = list(words)
+    for i in range(0, len(near), 400):
+        near[i] = "changed"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "x" * 400_000)], "doc_id long, text string")
+    got = {x.doc_id: (x.n_links, x.cluster_id) for x in ngram_join.similar(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3)}

@@ -67,3 +67,28 @@ def test_many_sources_are_queues_of_their_own(spark, shares):
     shares = shares and {s: shares[s] for _, _, s in docs}
     few, many = (sorted(map(tuple, packing.pack(df, PATH, 16, 2, shares, bound).collect())) for bound in (256, 2))
     assert many == few and {r[7] for r in many} == {f"={s}" for _, _, s in docs}
+
+
+def test_very_long_text_and_names_that_clash(spark):
+    docs = [(1, "the lazy dog's naïve 12 cafés " * 40_000, "a"), (2, "x" * 3000, "b")]
+    assert len(docs[0][1].encode()) > packing.BYTES_AT_ONCE
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 as queue", "2 as ids", "3 as n", "4 as part", "5 as pos", "6 as window")
+    check(packing.pack(df, PATH).collect(), docs)
+
+
+def test_every_sequence_has_the_mixture(spark):
+    """Within a quantum of what is owed."""
+    docs = [(i, "word and more " * (10 + i % 50), f"s{min(i % 9, 4)}") for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    rows = packing.pack(df, PATH).collect()
+    check(rows, docs)
+    total, by = sum(r.length for r in rows), {}
+    for r in rows:
+        by.setdefault(r.source, {}).setdefault(r.sequence_id, 0)
+        by[r.source][r.sequence_id] += r.length
+    last = max(r.sequence_id for r in rows)
+    for found in by.values():
+        share, sent = sum(found.values()) / total, 0
+        for k in range(last):
+            sent += found.get(k, 0)
+            assert abs(sent - share * 2048 * (k + 1)) <= 2048 / 8 * len(by)

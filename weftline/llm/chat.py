@@ -18,7 +18,7 @@ turns; each turn is rendered as many times as it has participants, as the result
 Defined results: null text is empty, a null role the name "unknown"; null turns come
 last. Turns of the same number go by a hash of role and text. Rows that repeat in every
 value are one turn; n_rows counts them all. Conversations that have only context roles, and empty tables, give no rows. A
-null conv_id is a conversation of its own. Other columns are not read."""
+null conv_id is a conversation of its own. A very long turn is one turn. Other columns are not read."""
 
 from __future__ import annotations
 

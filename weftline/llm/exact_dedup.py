@@ -11,7 +11,8 @@ share is dealt over many tasks; the counts of the tasks are then added up.
 
 Defined results: null text counts as empty. Of equal texts the smallest doc_id stays
 (null ids come last); among repeated rows of one doc_id, the first. Other columns are
-not read, whatever their names. An empty table gives an empty result."""
+not read, whatever their names. A very long text is so many blocks and takes a level more for each
+doubling. An empty table gives an empty result."""
 
 from __future__ import annotations
 

@@ -10,14 +10,17 @@ terms' lesser weights over that of the greater ones: the generalised Jaccard sim
 
 All of it is generated code over one row per document and different term: logarithms,
 hashes and a minimum of 64-bit keys for each sample. The
-documents are dealt out by ranges of doc_id once; a copy of the first document of the
+documents are dealt out by ranges of doc_id once, those of an id that repeats very often by
+ranges of their texts' hashes too; a copy of the first document of the
 range below joins each range, so that the next document is there without a global sort.
-The ranges' terms are summed where they are.
+The ranges' terms are summed where they are. With 32 samples a likeness has a standard
+error of at most 0.09.
 
 Defined results: null text counts as empty. Texts without words agree on every sample
 with each other and on none with others. The next document is the one before in
-descending doc_id; null ids come last, rows of one doc_id in descending order of text;
-the last row's is the first; a single row is its own. Other columns are not read. An
+descending doc_id; null ids come last, rows of one doc_id in descending order of the text's
+64-bit hash; the last row's is the first; a single row is its own. A very long text is one row
+like any other, its terms summed before they draw. Other columns are not read. An
 empty table gives an empty result."""
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ SAMPLES = 32
 #: Quantiles of doc_id that are looked up; each stretch is divided evenly.
 KNOTS = 64
 NONE = -1
+#: Ranges that the rows of one id are dealt to at most.
+SUBS = 1 << 20
+#: Rows of one id from which on they may be dealt apart.
+HOT_LEAST = 1000
 
 
 def _terms(text: Column) -> Column:
@@ -61,13 +68,14 @@ def sample_key(h: Column, log_weight: Column, k: int) -> Column:
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
-    """_ord, doc_id, text, _bucket, _guest: rows dealt by ranges of doc_id, with guests."""
+    """_ord, _mix, doc_id, text, _bucket, _guest: rows dealt by ranges of doc_id, with guests."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = max(1, -(-4 * parts // KNOTS))
-    found = base.agg(F.percentile_approx(order, [i / KNOTS for i in range(KNOTS + 1)], 10_000).alias("q")).first()["q"] or [0]
+    seen = base.agg(F.percentile_approx(order, [i / KNOTS for i in range(KNOTS + 1)], 10_000).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    found = seen["q"] or [0]
     knots = sorted(set(found))
     low = F.lit(knots[0])
     at = F.size(F.filter(F.array(*[F.lit(k) for k in knots]), lambda k: k <= F.col("_ord")))
@@ -75,20 +83,29 @@ def _dealt(docs: DataFrame) -> DataFrame:
     start, end = F.coalesce(F.get(bounds, at - 1), low.cast("double")), F.get(bounds, at)
     share = F.coalesce((F.col("_ord").cast("double") - start) / (end - start), F.lit(0.0))
     bucket = at * each + F.least(F.floor(F.greatest(share, F.lit(0.0)) * each), F.lit(each - 1)).cast("int")
-    base = base.withColumn("_ord", order).withColumn("_own", bucket.cast("int"))
-    tops = base.groupBy("_own").agg(F.max("_ord").alias("_top"))  # a row per range
+    base = base.withColumn("_ord", order).withColumn("_mix", F.xxhash64("text"))
+    limit = max(HOT_LEAST, seen["n"] // (4 * parts))
+    hot = base.groupBy("_ord").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).collect()  # at most 4 for each partition
+    own = bucket.cast("long") * SUBS
+    if hot:
+        split = spark.createDataFrame([(r["_ord"], min(SUBS, -(-r["n"] // limit))) for r in hot], "_ord long, _subs long")
+        base = base.join(F.broadcast(split), "_ord", "left")
+        at_sub = F.floor((F.col("_mix").cast("double") / float(1 << 64) + 0.5) * F.col("_subs"))
+        own = own + F.coalesce(F.least(at_sub, F.col("_subs") - 1), F.lit(0))
+    base = base.withColumn("_own", own)
+    tops = base.groupBy("_own").agg(F.max(F.struct("_ord", "_mix")).alias("_top"))  # a row per range
     w = Window.orderBy("_own")
-    hosts = tops.select(F.col("_top").alias("_ord"), F.coalesce(F.lead("_own").over(w), F.lit(None)).alias("_host"), F.min("_own").over(Window.partitionBy(F.lit(0))).alias("_least"))
-    hosts = hosts.select("_ord", F.coalesce("_host", "_least").alias("_host"))
-    met = base.join(F.broadcast(hosts), "_ord", "left")
+    hosts = tops.select("_top._ord", "_top._mix", F.coalesce(F.lead("_own").over(w), F.lit(None)).alias("_host"), F.min("_own").over(Window.partitionBy(F.lit(0))).alias("_least"))
+    hosts = hosts.select("_ord", "_mix", F.coalesce("_host", "_least").alias("_host"))
+    met = base.join(F.broadcast(hosts), ["_ord", "_mix"], "left")
     here = F.array(F.struct(F.col("_own").alias("b"), F.lit(False).alias("g")), F.struct(F.col("_host").alias("b"), F.lit(True).alias("g")))
-    spread = met.select("_ord", "doc_id", "text", F.explode(F.filter(here, lambda x: x["b"].isNotNull())).alias("x"))
-    return spread.select("_ord", "doc_id", "text", F.col("x.b").alias("_bucket"), F.col("x.g").alias("_guest"))
+    spread = met.select("_ord", "_mix", "doc_id", "text", F.explode(F.filter(here, lambda x: x["b"].isNotNull())).alias("x"))
+    return spread.select("_ord", "_mix", "doc_id", "text", F.col("x.b").alias("_bucket"), F.col("x.g").alias("_guest"))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """_bucket, _rn, _guest, doc_id, text, n_chars and edited of every row and guest."""
-    w = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_ord"), F.desc("text"))
+    w = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_ord"), F.desc("_mix"))
     rows = _dealt(docs).withColumn("_next", F.lead("text").over(w)).withColumn("_rn", F.row_number().over(w))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")

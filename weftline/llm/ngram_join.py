@@ -2,16 +2,19 @@
 
 Documents of the same words are one class. Each class has a set of shingles of five
 words (hashed to 64 bits; fewer words make one shingle) and MinHash values. Classes that
-agree on all the values of a band are candidates; classes that candidates connect are
-compared in blocks. In a block, values are compared a few at a time, and a pair is
-dropped as soon as the posterior probability (uniform prior) that its similarity reaches
-the threshold, given the matches so far, is below the tolerance. The pairs left are
-verified exactly, in integers.
+agree on all the values of a band are candidates and meet: values are compared a few at a time,
+and a pair is dropped as soon as the posterior probability (uniform prior) that its similarity
+reaches the threshold, given the matches so far, is below the tolerance. Classes that the pairs left
+connect meet once more, with their shingles, and what passes the same pruning is
+verified exactly, in integers. So classes that merely share a band, as texts of one template do,
+are told apart while they are 160 short numbers, and only likely pairs hold together what
+is compared as a whole. Bands that the very same classes share are one meeting.
 
 Bands: 32 of 5 values; a pair at the threshold of 0.8 shares none with a probability of
 3e-6, and is dropped wrongly with one of about the tolerance (1e-9 at each look).
 
-No pair is ever a row. A group of near copies is split into blocks that meet two by
+Class keys begin with the class id, so that the least key of a component names it and no
+join meets at it. No pair is ever a row. A hot band, or a group of near copies, is split into blocks that meet two by
 two, each meeting in a task of its own; out of it come a count for each class and a
 spanning forest of the links, at most one row per class. Components come from these.
 
@@ -19,8 +22,8 @@ Defined results: words are what ASCII white space separates, A-Z lower-cased. Nu
 counts as empty; documents without words are one class and have no links. class_id is
 the smallest doc_id of the class, cluster_id that of its component; n_links counts the
 other classes at or above the threshold, n_linked_docs the documents in them and the
-other documents of the class. Repeated rows are members of their class. Other columns
-are not read. An empty table gives an empty result."""
+other documents of the class. Repeated rows are members of their class. A very long text is
+hashed and compared whole, its shingles in pieces. Other columns are not read. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -122,7 +125,7 @@ def _key(text: bytes) -> bytes:
 
 
 def _sign(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +134,15 @@ def _sign(n: int):
                 texts = [t.as_py().encode() for t in part.column(1)]
                 sets = [shingles(word_hashes(t), n) for t in texts]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys = band_keys(minhashes([sets[i] for i in full])) if full else np.empty((0, BANDS), dtype=np.int64)
+                mins = minhashes([sets[i] for i in full])
+                keys = band_keys(mins)
+                sigs: list[bytes | None] = [None] * len(sets)
+                for i, sig in zip(full, (mins >> np.uint64(48)).astype(np.uint16), strict=True):
+                    sigs[i] = sig.tobytes()
                 offsets = np.zeros(len(sets) + 1, dtype=np.int32)
                 offsets[1:][full] = BANDS
                 bands = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_key(t) for t in texts], pa.binary()), bands], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_key(t) for t in texts], pa.binary()), bands, pa.array(sigs, pa.binary()), pa.array([len(x) for x in sets], pa.int64())], schema=schema)
 
     return run
 
@@ -149,13 +156,12 @@ def _members(n: int):
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
                 rows = []
-                for comp, key, class_size, size, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                for comp, key, class_size, size, sig, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
                     text = text.encode()
                     if _key(text) == key[-16:]:  # else it is another row of that id
-                        rows.append((comp, key, class_size, size, shingles(word_hashes(text), n)))
+                        rows.append((comp, key, class_size, size, sig, shingles(word_hashes(text), n).tobytes()))
                 if rows:
-                    sigs = (minhashes([r[4] for r in rows]) >> np.uint64(48)).astype(np.uint16)
-                    yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], schema[i].type) for i in range(4)], pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array([r[4].tobytes() for r in rows], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -175,17 +181,23 @@ def least_matches(threshold: float, tolerance: float, values: int, step: int) ->
     return out
 
 
-def _pairs(a: list, b: list, same: bool, need: list[tuple[int, int]], ratio: Fraction) -> np.ndarray:
-    """Index pairs at or above the threshold; a, b: (values, shingles) of each class."""
-    sa, sb = np.stack([x[0] for x in a]), np.stack([x[0] for x in b])
-    na, nb = np.array([len(x[1]) for x in a]), np.array([len(x[1]) for x in b])
+def _likely(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray, same: bool, need: list[tuple[int, int]], ratio: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that sizes and MinHash values leave; sa, sb: values, na, nb: numbers of shingles."""
     p, q = ratio.numerator, ratio.denominator
-    i, j = np.nonzero((np.minimum(na[:, None], nb[None, :]) * q >= np.maximum(na[:, None], nb[None, :]) * p) & (np.arange(len(a))[:, None] < np.arange(len(b))[None, :] if same else True))
+    i, j = np.nonzero((np.minimum(na[:, None], nb[None, :]) * q >= np.maximum(na[:, None], nb[None, :]) * p) & (np.arange(len(na))[:, None] < np.arange(len(nb))[None, :] if same else True))
     match, before = np.zeros(len(i), dtype=np.int32), 0
     for n, least in need:
         match += (sa[i, before:n] == sb[j, before:n]).sum(1, dtype=np.int32)
         keep = match >= least
         i, j, match, before = i[keep], j[keep], match[keep], n
+    return i, j
+
+
+def _pairs(a: list, b: list, same: bool, need: list[tuple[int, int]], ratio: Fraction) -> np.ndarray:
+    """Index pairs at or above the threshold; a, b: (values, shingles) of each class."""
+    na, nb = np.array([len(x[1]) for x in a]), np.array([len(x[1]) for x in b])
+    i, j = _likely(np.stack([x[0] for x in a]), np.stack([x[0] for x in b]), na, nb, same, need, ratio)
+    p, q = ratio.numerator, ratio.denominator
     if not len(i):
         return np.empty((0, 2), dtype=np.int64)
     if len(i) <= 64:
@@ -196,6 +208,51 @@ def _pairs(a: list, b: list, same: bool, need: list[tuple[int, int]], ratio: Fra
     return np.stack([i[keep], j[keep]], 1)
 
 
+class Forest(dict):
+    """Parents of what has been joined."""
+
+    def find(self, x: int) -> int:
+        while self.get(x, x) != x:
+            self[x] = x = self.get(self[x], self[x])
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+
+
+def _near(threshold: float, tolerance: float):
+    """A spanning forest of the likely pairs of each meeting."""
+    ratio = Fraction(threshold).limit_denominator(1000)
+    need = least_matches(threshold, tolerance, BANDS * ROWS, STEP)
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for t in runs(batches, 3):
+            lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+            block, keys = t.column("block").to_numpy(), t.column("key")
+            sigs = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in t.column("sig")])
+            sizes = t.column("n").to_numpy()
+            first = np.flatnonzero(block == lo)
+            second = np.flatnonzero(block == hi)
+            if not len(first) or not len(second):
+                continue
+            i, j = _likely(sigs[first], sigs[second], sizes[first], sizes[second], lo == hi, need, ratio)
+            forest = Forest()
+            for x, y in zip(first[i].tolist(), second[j].tolist(), strict=True):
+                forest.join(x, y)
+            held += [(keys[u].as_py(), keys[v].as_py()) for u, v in forest.items()]
+            if len(held) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
 def _intersections(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, width: int = 4096) -> np.ndarray:
     """Sizes of the intersections by products of 0/1 matrices, so many shingles at a time."""
     flat = [np.concatenate(x) for x in (a, b)]
@@ -234,23 +291,16 @@ def _compare(threshold: float, tolerance: float):
             if not first or not second:
                 continue
             found = _pairs([rows[x] for x in first], [rows[x] for x in second], lo == hi, need, ratio)
-            root: dict[int, int] = {}
+            forest = Forest()
             counts: dict[int, list[int]] = {}
             for x, y in zip(np.array(first)[found[:, 0]].tolist(), np.array(second)[found[:, 1]].tolist(), strict=True):
                 for u, v in ((x, y), (y, x)):
                     c = counts.setdefault(u, [0, 0])
                     c[0] += 1
                     c[1] += sizes[v]
-                while root.get(x, x) != x:
-                    root[x] = root.get(root[x], root[x])
-                    x = root[x]
-                while root.get(y, y) != y:
-                    root[y] = root.get(root[y], root[y])
-                    y = root[y]
-                if x != y:
-                    root[max(x, y)] = min(x, y)
+                forest.join(x, y)
             held += [(keys[u], None, *c) for u, c in counts.items()]
-            held += [(keys[u], keys[v], 0, 0) for u, v in root.items()]
+            held += [(keys[u], keys[v], 0, 0) for u, v in forest.items()]
             if len(held) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
                 held = []
@@ -272,28 +322,37 @@ def _class_of(c: str) -> Column:
     return F.when(F.substring(digits, 1, 2) == "00", number)
 
 
+def _meetings(members: DataFrame, group: str, blocks: Column, *cols: str) -> DataFrame:
+    """Members of each group in blocks, dealt so that every two blocks meet: group, lo, hi, block and cols, sorted."""
+    placed = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select(group, F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", *cols)
+    return placed.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+
+
 def similar(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id, class_size, n_links, n_linked_docs, cluster_id of every row."""
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    signed = written(rows.mapInArrow(_sign(n), "doc_id long, key binary, bands array<long>"), "signed")
-    classes = written(signed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.first("bands").alias("bands")).select(F.col("key").alias("words"), F.concat(_first("class_id"), "key").alias("key"), "class_id", "class_size", "bands"), "classes")
+    signed = written(rows.mapInArrow(_sign(n), "doc_id long, key binary, bands array<long>, sig binary, n long"), "signed")
+    same = F.first(F.struct("bands", "sig", "n")).alias("same")
+    classes = signed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), same)
+    classes = written(classes.select(F.col("key").alias("words"), F.concat(_first("class_id"), "key").alias("key"), "class_id", "class_size", "same.*"), "classes")
     banded = classes.select("key", F.explode("bands").alias("band"))
-    shared = written(banded.groupBy("band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b"), "bands")
-    stars = banded.join(shared, "band").select(F.col("key").alias("a"), "b").filter("a != b").distinct()
-    near = written(components(stars, "candidates"), "near")
+    set_of = [F.bit_xor(F.xxhash64("key")).alias("s1"), F.sum(F.xxhash64("key", F.lit(1)).cast("decimal(38,0)")).alias("s2")]
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("g"), *set_of).filter("g > 1")
+    shared = written(shared.groupBy("g", "s1", "s2").agg(F.min("band").alias("band")).select("band", "g"), "bands")
+    met = written(banded.join(shared, "band"), "banded")
+    likely = _meetings(met.join(classes.select("key", "sig", "n"), "key"), "band", F.ceil(F.col("g") / block).cast("int"), "key", "sig", "n")
+    edges = written(likely.mapInArrow(_near(threshold, tolerance), "a binary, b binary"), "likely")
+    near = written(components(edges, "candidates"), "near")
     # what is smaller than a block is one block, whatever its size
     sizes = written(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block), "sizes")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_SIZES else sizes
     who = near.join(sizes, "root", "left").select(F.col("node").alias("key"), F.col("root").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
-    who = written(who.join(classes.select("key", "class_id", "class_size"), "key"), "members")
+    who = written(who.join(classes.select("key", "class_id", "class_size", "sig"), "key"), "members")
     # by shuffle at every size: who grows with the documents
-    met = rows.join(who.hint("merge"), rows["doc_id"].eqNullSafe(who["class_id"])).select("comp", "key", "class_size", "size", "text")
+    met = rows.join(who.hint("merge"), rows["doc_id"].eqNullSafe(who["class_id"])).select("comp", "key", "class_size", "size", "sig", "text")
     members = met.mapInArrow(_members(n), "comp binary, key binary, class_size long, size long, sig binary, shingles binary")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    members = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-    meets = members.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    meets = meets.select("comp", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "key", "class_size", "sig", "shingles")
-    dealt = meets.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+    dealt = _meetings(members, "comp", F.ceil(F.col("size") / block).cast("int"), "key", "class_size", "sig", "shingles")
     found = written(dealt.mapInArrow(_compare(threshold, tolerance), "key binary, other binary, links long, docs long"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     joined = components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")), "clusters")
