@@ -86,12 +86,15 @@ def _dealt(docs: DataFrame) -> DataFrame:
     base = base.withColumn("_ord", order).withColumn("_mix", F.xxhash64("text"))
     limit = max(HOT_LEAST, seen["n"] // (4 * parts))
     hot = base.groupBy("_ord").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).collect()  # at most 4 for each partition
-    own = bucket.cast("long") * SUBS
+    own = bucket.cast("long")
     if hot:
         split = spark.createDataFrame([(r["_ord"], min(SUBS, -(-r["n"] // limit))) for r in hot], "_ord long, _subs long")
         base = base.join(F.broadcast(split), "_ord", "left")
-        at_sub = F.floor((F.col("_mix").cast("double") / float(1 << 64) + 0.5) * F.col("_subs"))
-        own = own + F.coalesce(F.least(at_sub, F.col("_subs") - 1), F.lit(0))
+        # in a range: what is between two such ids, then the parts of the second, and so on
+        below = F.size(F.filter(F.array(*[F.lit(r["_ord"]) for r in hot]), lambda h: h <= F.col("_ord")))
+        apart = F.col("_subs").isNotNull()
+        sub = F.least(F.floor((F.col("_mix").cast("double") / float(1 << 64) + 0.5) * F.col("_subs")), F.col("_subs") - 1)
+        own = (own * (2 * len(hot) + 1) + 2 * below - F.when(apart, 1).otherwise(0)) * SUBS + F.when(apart, sub).otherwise(0)
     base = base.withColumn("_own", own)
     tops = base.groupBy("_own").agg(F.max(F.struct("_ord", "_mix")).alias("_top"))  # a row per range
     w = Window.orderBy("_own")
