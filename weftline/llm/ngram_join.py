@@ -58,7 +58,7 @@ MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np
 ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
-_hashes = Memo(xxhash.xxh3_64_intdigest, 300_000)
+_hashes = Memo(xxhash.xxh3_64_intdigest, 100_000)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -129,6 +129,7 @@ def _sign(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 texts = [t.as_py().encode() for t in part.column(1)]
