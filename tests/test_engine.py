@@ -191,3 +191,9 @@ def test_shared_folder(spark):
     bare = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(getConf=lambda: nothing, master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_path(bare, "x")
+
+
+def test_words_with_control_characters(w):
+    ds = w.from_seq(["\x01Ab ab\x02 c\x03d \x04 ... ΑΣ", "AB  ", ""], "value string")
+    assert [tuple(r) for r in workloads.word_frequency(ds).collect()] == [("ab", 3), ("...", 1), ("c\x03d", 1), ("ας", 1)]
+    assert sorted(map(tuple, workloads.word_lengths(ds).collect())) == [(2, 4)]  # what is not ASCII is no word character

@@ -32,13 +32,16 @@ PERSON = (("first", "string"), ("last", "string"), ("age", "int"), ("month", "st
 
 def word_frequency(lines: Dataset, text: str = "value", top: int = 100) -> Dataset:
     """The most frequent lower-case words."""
-    found = lines.map(compat.words(text).alias("ws")).flat_map(F.transform("ws", lambda w: F.lower(compat.java_trim(w))), name="word").filter("word != ''")
-    return top_counts(found, top, "word")
+    # one pass of generated code over the text; only texts with control characters are trimmed by word
+    lower = F.lower(text)
+    fields = F.split(lower, r"\s+", -1)
+    trimmed = F.when(F.regexp_like(lower, F.lit(r"[\x00-\x08\x0E-\x1F]")), F.transform(fields, compat.java_trim)).otherwise(fields)
+    return top_counts(lines.flat_map(trimmed, name="word").filter("word != ''"), top, "word")
 
 
 def word_lengths(lines: Dataset, text: str = "value") -> Dataset:
     """How many words there are of each length, punctuation left out; words of nothing else go."""
-    found = lines.flat_map(compat.words(text), name="w").map(F.length(compat.only_word_chars("w")).alias("len")).filter("len > 0")
+    found = lines.flat_map(F.split(F.col(text), r"\s+", -1), name="w").map(F.length(compat.only_word_chars("w")).alias("len")).filter("len > 0")
     return count_by_key(found, "len")
 
 
