@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import SPACE, written
 
 BLOCK_BYTES = 16_384
+#: Dropped rows up to which their ids are broadcast.
+BROADCAST_IDS = 500_000
 WHITE = b" \t\n\x0b\x0c\r"
 _CARRIED = "row long, idx int, names int, doc_id long, text_sha256 string"
 _MARKED = f"{_CARRIED}, part int, local long, first binary, last binary"
@@ -144,14 +146,18 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
 def drop_exact(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without all but one row of each group of equal texts, whole and with their own columns."""
     found = written(exact_duplicates(docs, block_bytes), "kept")
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), f"{SPACE}+", " "), 256)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    again = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    went = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.min("kept").alias("all")).filter("not all")
+    went = written(went.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("stays").alias("_stays")), "went")
+    few = went.count() <= BROADCAST_IDS
+    sent = lambda t: F.broadcast(t) if few else t.hint("merge")
+    ids = went.select("_id").distinct()
     # in a struct, no column of docs can clash with one of these
-    tagged = docs.select(F.struct("*").alias("_row"), sha.alias("_text_sha"))
-    on = lambda t: F.col("_row.doc_id").eqNullSafe(t["_id"]) & (F.col("_text_sha") == t["_sha"])
-    same = lambda how: kept.join(again, kept["_id"].eqNullSafe(again["_id"]) & (kept["_sha"] == again["_sha"]), how)
-    once, twice = same("left_anti"), same("left_semi")
-    single = tagged.join(once, on(once), "left_semi").select("_row")
-    repeated = tagged.join(twice, on(twice), "left_semi").withColumn("_id2", F.col("_row.doc_id")).dropDuplicates(["_id2", "_text_sha"]).select("_row")
+    rows = docs.select(F.struct("*").alias("_row"))
+    of = lambda t: F.col("_row.doc_id").eqNullSafe(t["_id"])
+    # texts are hashed again only of ids of which a row goes
+    sha = F.sha2(F.regexp_replace(F.coalesce("_row.text", F.lit("")), f"{SPACE}+", " "), 256)
+    touched = rows.join(sent(ids), of(ids), "left_semi").withColumn("_text_sha", sha)
+    met = touched.join(sent(went), of(went) & (F.col("_text_sha") == went["_sha"]), "left")
+    single = rows.join(sent(ids), of(ids), "left_anti").unionByName(met.filter(F.col("_stays").isNull()).select("_row"))
+    repeated = met.filter("_stays").withColumn("_id2", F.col("_row.doc_id")).dropDuplicates(["_id2", "_text_sha"]).select("_row")
     return single.unionByName(repeated).select("_row.*")
