@@ -47,7 +47,7 @@ BANDS, ROWS = 32, 5
 STEP = 20
 TOLERANCE = 1e-9
 #: Classes in a block; two blocks meet in a task.
-BLOCK = 256
+BLOCK = 128
 #: Components of more than a block up to which their sizes are broadcast.
 BROADCAST_SIZES = 500_000
 #: Shingles hashed at a time.
