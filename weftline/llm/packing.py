@@ -27,6 +27,7 @@ gives no pieces. Queues go in the order of their names, documents in that of the
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -71,19 +72,21 @@ class Encoder:
         if self.whole.get_vocab_size() > 65_536:
             raise ValueError("ids must fit in 16 bits")
         self.model, self.level = self.whole.model, byte_level()
-        self.units = Memo(self._unit, 150_000)
-        self.words = Memo(self._word, 250_000)
+        self.units = Memo(self._unit, 250_000)
+        self.words = Memo(self._word, 350_000)
 
     def _unit(self, unit: str) -> bytes:
         mapped = unit if unit.isascii() else "".join(map(self.level.__getitem__, unit.encode()))
-        return np.array([x.id for x in self.model.tokenize(mapped)], dtype="<u2").tobytes()
+        ids = [x.id for x in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
         if m := PLAIN.fullmatch(word):
             letters, marks = m.groups()
             return self.units[letters.lower()] + (self.units[marks] if marks else b"")
-        return np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        ids = self.whole.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def __call__(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text; bytes split at ASCII white space only."""
@@ -115,7 +118,7 @@ def _encode(path: str):
         for batch in batches:
             rows, held = [], 0
             for doc_id, queue, text in zip(*[batch.column(i) for i in range(3)], strict=True):
-                ids = ids_of(text.as_py().encode()) + end
+                ids = ids_of(text.as_buffer().to_pybytes()) + end
                 q, n = queue.as_py(), len(ids) // 2
                 rows.append((doc_id.as_py(), q, ids, n, part, sent.get(q, 0)))
                 sent[q] = sent.get(q, 0) + n
