@@ -7,7 +7,9 @@ entity and n(t, e) in which both stand, wherever that is, the pointwise mutual i
 log2(n(t,e) N / (n(t) n(e))) over the entity's information log2(N / n(e)) is 1 for a term
 that gives the entity away wholly, about 0 for one that tells nothing. Terms from the
 first threshold on are generalised to a class, from the second on removed, wherever they
-stand. A term is a run of letters and digits of any length; what stands in base spans only
+stand. Strings that carry too much information to be words, as keys, tokens and passwords do,
+are removed as secrets wherever they stand: letters and digits in turns, 16 at least, of 8 different ones.
+A term is a run of letters and digits of any length; what stands in base spans only
 is none.
 
 Everything is DataFrame expressions: a pattern's matches and the text between them
@@ -50,6 +52,9 @@ HINTS = {
     "card": lambda t: F.regexp_like(t, F.lit(r"[0-9](?:[\x20-]?[0-9]){15}")),
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
+SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?=[A-Za-z]*+[0-9]++[A-Za-z]++[0-9])[A-Za-z0-9]{16,}+)"
+#: Different characters in a secret at least.
+VARIETY = 8
 TERM = r"[\p{L}\p{N}]++"
 #: Code points that a text is cut into to find places in it.
 CUT = 4096
@@ -143,6 +148,12 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.when(HINTS[k](text), _placed(text, PATTERNS[k], k, lambda v, k=k: _valid(k, v))).otherwise(none) for k in KINDS])
 
 
+def secret_spans(text: Column) -> Column:
+    """Strings of much information, in order."""
+    varied = lambda v: F.size(F.array_distinct(F.split(F.lower(v), "", -1))) >= VARIETY
+    return F.when(F.regexp_like(text, F.lit(r"[0-9][A-Za-z]++[0-9]|AKIA")), _placed(text, SECRET, "secret", varied)).otherwise(F.array().cast(_SPANS))
+
+
 def _entity(span: Column) -> Column:
     """A value as it is compared: lower case; of numbers the digits."""
     v = span["value"]
@@ -207,7 +218,7 @@ def different(based: DataFrame) -> DataFrame:
 
 
 def annotated(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """_row (the row of docs), _text, and _base and _more, the spans of either sort."""
+    """_row (the row of docs), _text, and _base, _secret and _more (terms), the spans of each sort."""
     # in a struct, no column of docs can clash with one of these
     based = docs.select(F.struct("*").alias("_row"), text_of().alias("_text"))
     based = based.withColumn("_base", base_spans(F.col("_text"))).withColumn("_id", F.xxhash64("_text", F.col("_row.doc_id").cast("string")))
@@ -216,7 +227,7 @@ def annotated(docs: DataFrame, support: int = SUPPORT, generalise: float = GENER
     n = telling.count()
     none = F.array().cast(_SPANS)
     if not n:
-        return based.withColumn("_more", none).drop("_id")
+        return based.withColumn("_secret", secret_spans(F.col("_text"))).withColumn("_more", none).drop("_id")
     words = narrow.select("_id", F.posexplode(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)))).select("_id", F.col("pos").alias("i"), F.lower("col").alias("term"))
     found = words.join(F.broadcast(telling) if n <= BROADCAST_TERMS else telling, "term")
     kind = F.when(F.col("disclosure") >= remove, "removed").otherwise("term").alias("kind")
@@ -229,7 +240,7 @@ def annotated(docs: DataFrame, support: int = SUPPORT, generalise: float = GENER
         _placed(F.col("_text"), TERM, "term"),
         lambda spans: F.transform("_told", lambda x: _let(F.get(spans, x["i"]), lambda s: F.struct(x["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))),
     )
-    return met.withColumn("_more", F.when(F.col("_told").isNull(), none).otherwise(graded)).drop("_id", "_key", "_told")
+    return met.withColumn("_secret", secret_spans(F.col("_text"))).withColumn("_more", F.when(F.col("_told").isNull(), none).otherwise(graded)).drop("_id", "_key", "_told")
 
 
 def _joined(spans: Column) -> Column:
@@ -237,20 +248,20 @@ def _joined(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, counts by kind, base_sha256, spans and n_terms of every row."""
+    """doc_id, counts by kind, base_sha256, spans, n_secret and n_terms of every row."""
     got = annotated(docs.select("doc_id", "text"), **how)
     of = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
     terms = F.transform("_more", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return got.select("_row.doc_id", *[of(k).alias(f"n_{k}") for k in KINDS], F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.concat("_base", terms)).alias("spans"), F.size("_more").cast("long").alias("n_terms"))
+    return got.select("_row.doc_id", *[of(k).alias(f"n_{k}") for k in KINDS], F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.concat("_base", "_secret", terms)).alias("spans"), F.size("_secret").cast("long").alias("n_secret"), F.size("_more").cast("long").alias("n_terms"))
 
 
 def sanitise(docs: DataFrame, **how) -> DataFrame:
-    """docs with base spans as [KIND], telling terms as [TERM] or nothing; spans that overlap become one."""
+    """docs with base spans and secrets as [KIND], telling terms as [TERM] or nothing; spans that overlap become one."""
     got = annotated(docs, **how)
-    ordered = F.array_sort(F.transform(F.concat("_base", "_more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(F.concat("_base", "_secret", "_more"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     tag = lambda s: F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     clean = _replaced(F.col("_text"), ordered, tag)
-    changed = F.size("_base") + F.size("_more") > 0
+    changed = F.size("_base") + F.size("_secret") + F.size("_more") > 0
     cols = {"text": F.when(changed, clean).otherwise(F.col("_row.text"))}
     if "n_chars" in docs.columns:
         cols["n_chars"] = F.when(changed, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
