@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,6 +43,15 @@ def crc_mod(c: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def give_back() -> None:
+    """Memory that this worker has freed but still holds goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 class Memo(dict):
     """fn's results. Up to bound of them are at hand and as many from before, so that
     memory does not follow the vocabulary and what is used often is not worked out anew."""

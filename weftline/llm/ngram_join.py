@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Memo, components, runs, text_of, written
+from weftline.llm.common import Memo, components, give_back, runs, text_of, written
 
 N_WORDS = 5
 THRESHOLD = 0.8
@@ -129,7 +129,7 @@ def _sign(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pa.default_memory_pool().release_unused()
+            give_back()
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 texts = [t.as_py().encode() for t in part.column(1)]
@@ -154,6 +154,7 @@ def _members(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
                 rows = []

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Memo, text_of, written
+from weftline.llm.common import Memo, give_back, text_of, written
 
 SEQUENCE = 2048
 #: Proportions hold in windows of so many sequences; in longer ones documents are cut less.
@@ -72,8 +72,8 @@ class Encoder:
         if self.whole.get_vocab_size() > 65_536:
             raise ValueError("ids must fit in 16 bits")
         self.model, self.level = self.whole.model, byte_level()
-        self.units = Memo(self._unit, 250_000)
-        self.words = Memo(self._word, 350_000)
+        self.units = Memo(self._unit, 150_000)
+        self.words = Memo(self._word, 250_000)
 
     def _unit(self, unit: str) -> bytes:
         mapped = unit if unit.isascii() else "".join(map(self.level.__getitem__, unit.encode()))
@@ -116,6 +116,7 @@ def _encode(path: str):
         ids_of, part, sent = encoder(path), TaskContext.get().partitionId(), {}
         end = np.array([END_ID], dtype="<u2").tobytes()
         for batch in batches:
+            give_back()
             rows, held = [], 0
             for doc_id, queue, text in zip(*[batch.column(i) for i in range(3)], strict=True):
                 ids = ids_of(text.as_buffer().to_pybytes()) + end

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Memo, crc_mod, text_of, written
+from weftline.llm.common import Memo, crc_mod, give_back, text_of, written
 
 #: So many labelled rows are fitted at most.
 FIT_ROWS = 20_000
@@ -71,7 +71,7 @@ class Automaton:
     """The trie of a lexicon {(term, is_stem): weight}, met with the Levenshtein
     automata of its words; match(token) is (term, edits) or None."""
 
-    def __init__(self, terms: list[tuple[str, bool]], bound: int = 200_000):
+    def __init__(self, terms: list[tuple[str, bool]], bound: int = 50_000):
         self.children: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
         self.stem: list[str | None] = [None]
@@ -173,7 +173,7 @@ class Scorer:
 
     def __init__(self, terms: list[tuple[str, bool]]):
         self.automaton = Automaton(terms)
-        self.seen = Memo(self._hits, 300_000)
+        self.seen = Memo(self._hits, 100_000)
 
     def _hits(self, raw: bytes) -> tuple:
         """(edits, ...) of the hits in a token that white space bounds."""
@@ -349,6 +349,7 @@ def _score(terms, weights: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, w = Scorer(terms), np.array(weights)
         for batch in batches:
+            give_back()
             found = [scorer.features(t.as_py().encode()) for t in batch.column(1)]
             x = np.array([f or [0.0] * len(FEATURES) for f in found]).reshape(len(found), len(FEATURES))
             scores = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
@@ -388,6 +389,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, w = Scorer(terms), np.array(weights)
         for batch in batches:
+            give_back()
             keep = [(f is None and w[-1] < 0) or float(np.array(f or [0.0] * len(FEATURES)) @ w[:-1] + w[-1]) < 0 for f in (scorer.features((t.as_py() or "").encode()) for t in batch.column(at))]
             yield batch.filter(pa.array(keep))
 
