@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +27,10 @@ def top_counts(ds: Dataset, n: int, *keys: Expr, name: str = "n") -> Dataset:
 
 def parse_or_drop(ds: Dataset, columns: dict[str, Column], required: list[str], valid: Column | None = None) -> Dataset:
     """Rows whose required columns parse; others go."""
-    df = ds.df if valid is None else ds.df.filter(valid)
-    parsed = df.select(*[c.alias(n) for n, c in columns.items()])
-    keep = F.lit(True)
-    for n in required:
-        keep = keep & F.col(n).isNotNull()
-    return Dataset(parsed.filter(keep))
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    # a generator, as a filter would be pushed below and parse everything again
+    parsed = F.filter(F.array(row), lambda x: functools.reduce(Column.__and__, [x[n].isNotNull() for n in required], F.lit(True)))
+    return Dataset(ds.df.select(F.inline(parsed if valid is None else F.when(valid, parsed))))
 
 
 def plan_of(df: DataFrame) -> str:
