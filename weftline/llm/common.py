@@ -43,8 +43,16 @@ def crc_mod(c: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def give_back() -> None:
-    """Memory that this worker has freed but still holds goes back to the machine."""
+#: What workers remember from task to task, by the operator's name: how to forget it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def give_back(mine: str) -> None:
+    """A worker that comes from another operator's tasks forgets what those remember, and
+    memory that it has freed but still holds goes back to the machine."""
+    for name, forget_it in REMEMBERED.items():
+        if name != mine:
+            forget_it()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -59,6 +67,10 @@ class Memo(dict):
     def __init__(self, fn: Callable, bound: int = 200_000):
         self.fn, self.bound, self.before = fn, bound, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
     def __missing__(self, key):
         if len(self) >= self.bound:
             self.before = dict(self)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, written
+from weftline.llm.common import SPACE, give_back, written
 
 BLOCK_BYTES = 16_384
 #: Dropped rows up to which their ids are broadcast.
@@ -50,16 +50,17 @@ def _blocks(size: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back("blocks")
             rows, held = [], 0
-            for row, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                text = normalised(text)
+            for row, doc_id, text in zip(*batch.columns, strict=True):
+                row, doc_id, text = row.as_py(), doc_id.as_py(), normalised(text.as_py())
                 sha = hashlib.sha256(text).hexdigest()
                 n = max(1, -(-len(text) // size))
                 for i in range(n):
                     block = text[i * size : (i + 1) * size]
                     rows.append((row, i, n, doc_id, sha if not i else None, hashlib.sha256(block).digest()[:16], block))
                     held += len(block)
-                    if held > 16_000_000:
+                    if held > 8_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows, held = [], 0
             if rows:

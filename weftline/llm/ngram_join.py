@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Memo, components, give_back, runs, text_of, written
+from weftline.llm.common import REMEMBERED, Memo, components, give_back, runs, text_of, written
 
 N_WORDS = 5
 THRESHOLD = 0.8
@@ -59,6 +59,7 @@ ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 _hashes = Memo(xxhash.xxh3_64_intdigest, 100_000)
+REMEMBERED["shingles"] = _hashes.forget
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -129,7 +130,7 @@ def _sign(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            give_back()
+            give_back("shingles")
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 texts = [t.as_py().encode() for t in part.column(1)]
@@ -154,7 +155,7 @@ def _members(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            give_back()
+            give_back("shingles")
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
                 rows = []

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Memo, give_back, text_of, written
+from weftline.llm.common import REMEMBERED, Memo, give_back, text_of, written
 
 SEQUENCE = 2048
 #: Proportions hold in windows of so many sequences; in longer ones documents are cut less.
@@ -96,6 +96,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+REMEMBERED["packing"] = _encoders.clear
 
 
 def encoder(path: str) -> Encoder:
@@ -116,7 +117,7 @@ def _encode(path: str):
         ids_of, part, sent = encoder(path), TaskContext.get().partitionId(), {}
         end = np.array([END_ID], dtype="<u2").tobytes()
         for batch in batches:
-            give_back()
+            give_back("packing")
             rows, held = [], 0
             for doc_id, queue, text in zip(*[batch.column(i) for i in range(3)], strict=True):
                 ids = ids_of(text.as_buffer().to_pybytes()) + end

@@ -349,7 +349,7 @@ def _score(terms, weights: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, w = Scorer(terms), np.array(weights)
         for batch in batches:
-            give_back()
+            give_back("toxicity")
             found = [scorer.features(t.as_py().encode()) for t in batch.column(1)]
             x = np.array([f or [0.0] * len(FEATURES) for f in found]).reshape(len(found), len(FEATURES))
             scores = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
@@ -389,7 +389,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, w = Scorer(terms), np.array(weights)
         for batch in batches:
-            give_back()
+            give_back("toxicity")
             keep = [(f is None and w[-1] < 0) or float(np.array(f or [0.0] * len(FEATURES)) @ w[:-1] + w[-1]) < 0 for f in (scorer.features((t.as_py() or "").encode()) for t in batch.column(at))]
             yield batch.filter(pa.array(keep))
 
