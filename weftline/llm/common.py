@@ -21,7 +21,8 @@ shared_dir = shared_path
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors."""
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    # the writer looks at a page's size after so many rows: by default 100, which may be very long texts
+    df.write.option("parquet.page.size.row.check.min", "2").option("parquet.page.size.row.check.max", "1000").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.weftline_path = path
     return out
