@@ -51,6 +51,7 @@ MAX_QUEUES = 256
 #: Longer texts are split into so many words at a time.
 BYTES_AT_ONCE = 1_000_000
 LONG = re.compile(rb"(?:[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*){1,50000}")
+PLAIN_ASCII = re.compile(rb"([A-Za-z]+)([.,;:!?*$%#&]*)")
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%#&]*)")
 
 
@@ -72,19 +73,23 @@ class Encoder:
         if self.whole.get_vocab_size() > 65_536:
             raise ValueError("ids must fit in 16 bits")
         self.model, self.level = self.whole.model, byte_level()
-        self.units = Memo(self._unit, 150_000)
-        self.words = Memo(self._word, 250_000)
+        self.units = Memo(self._unit, 200_000)
+        self.words = Memo(self._word, 300_000)
 
-    def _unit(self, unit: str) -> bytes:
-        mapped = unit if unit.isascii() else "".join(map(self.level.__getitem__, unit.encode()))
+    def _unit(self, unit: bytes) -> bytes:
+        mapped = unit.decode() if unit.isascii() else "".join(map(self.level.__getitem__, unit))
         ids = [x.id for x in self.model.tokenize(mapped)]
         return struct.pack(f"<{len(ids)}H", *ids)
 
     def _word(self, raw: bytes) -> bytes:
+        if m := PLAIN_ASCII.fullmatch(raw):
+            letters, marks = m.groups()
+            ids = self.units[letters.lower()]
+            return ids + self.units[marks] if marks else ids
         word = raw.decode()
         if m := PLAIN.fullmatch(word):
             letters, marks = m.groups()
-            return self.units[letters.lower()] + (self.units[marks] if marks else b"")
+            return self.units[letters.lower().encode()] + (self.units[marks.encode()] if marks else b"")
         ids = self.whole.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}H", *ids)
 
