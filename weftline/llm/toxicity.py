@@ -219,11 +219,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
+        give_back("toxicity")
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             words = {p for w in set(text.as_py().encode().lower().split()) for p in PIECES.findall(w.decode().lower())}
             counts[toxic].update((w, False) for w in words)
             counts[toxic].update({(w[:n], True) for w in words for n in STEM_LENGTHS if len(w) > n})
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            if len(counts[0]) + len(counts[1]) > 100_000:
                 yield out()
                 counts = {0: Counter(), 1: Counter()}
     if counts[0] or counts[1]:
