@@ -88,3 +88,47 @@ def test_very_long_texts(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "x" * 400_000)], "doc_id long, text string")
     got = {x.doc_id: (x.n_links, x.cluster_id) for x in ngram_join.similar(df).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+
+
+def test_rows_dealt_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    """Not with its square."""
+    meetings, dealt = ngram_join._meetings, []
+
+    def counted(members, group, *args):
+        out = meetings(members, group, *args)
+        if group == "band":
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_meetings", counted)
+    r, rows = random.Random(5), {}
+    base = [f"w{r.randrange(300)}" for _ in range(150)]
+    for n in (100, 400):
+        docs = []
+        for i in range(n):
+            words = list(base)
+            words[r.randrange(len(words))] = f"x{i}"
+            docs.append((i, " ".join(words)))
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        dealt.clear()
+        got = ngram_join.similar(df, block=10).collect()
+        assert all((x.n_links, x.cluster_id) == (n - 1, 0) for x in got) and len(got) == n
+        rows[n] = sum(dealt)
+    assert rows[400] <= 32 * 2 * 400, rows
+
+
+def test_hot_bands_of_several_clusters(spark):
+    """Texts of one template, some of them near copies of each other."""
+    r = random.Random(11)
+    template = [f"t{i}" for i in range(60)]
+    docs = []
+    for c in range(40):
+        own = [f"c{c}x{r.randrange(10**6)}" for _ in range(14 + c % 9)]
+        for k in range(1 if c % 3 else 4):
+            words = template[: 25 + c % 4] + own + template[25 + c % 4 :]
+            if k:
+                words[r.randrange(len(words))] = f"e{c}{k}"
+            docs.append((len(docs), " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for block in (5, 30):
+        assert sorted(tuple(x) for x in ngram_join.similar(df, block=block).collect()) == brute(docs)

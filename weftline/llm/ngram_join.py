@@ -14,8 +14,11 @@ Bands: 32 of 5 values; a pair at the threshold of 0.8 shares none with a probabi
 3e-6, and is dropped wrongly with one of about the tolerance (1e-9 at each look).
 
 Class keys begin with the class id, so that the least key of a component names it and no
-join meets at it. No pair is ever a row. A hot band, or a group of near copies, is split into blocks that meet two by
-two, each meeting in a task of its own; out of it come a count for each class and a
+join meets at it. No pair is ever a row. A hot band is split into blocks. Each meets itself, which
+connects near copies over all bands; then the classes that are not in the component which has most of the band meet
+all others of it, block by block. So every two classes of a band have met or are connected already. A component
+is split into blocks that meet two by two, as links are counted there, each meeting in a task of
+its own; out of it come a count for each class and a
 spanning forest of the links, at most one row per class. Components come from these.
 
 Defined results: words are what ASCII white space separates, A-Z lower-cased. Null text
@@ -325,13 +328,50 @@ def _class_of(c: str) -> Column:
     return F.when(F.substring(digits, 1, 2) == "00", number)
 
 
-def _meetings(members: DataFrame, group: str, blocks: Column, *cols: str) -> DataFrame:
-    """Members of each group in blocks, dealt so that every two blocks meet: group, lo, hi, block and cols, sorted."""
-    placed = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select(group, F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", *cols)
+def _meetings(members: DataFrame, group: str, block: Column, others: Column, *cols: str) -> DataFrame:
+    """Members of each group in their blocks, dealt to the meetings with the blocks in others: group, lo, hi, block and cols, sorted."""
+    placed = members.withColumn("block", block).withColumn("_other", F.explode(others))
+    return _dealt(placed.select(group, F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", *cols), group)
+
+
+def _dealt(placed: DataFrame, group: str) -> DataFrame:
     return placed.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
 
 
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("key"), blocks).cast("int")
+
+
+def _blocks(size: Column | str, block: int) -> Column:
+    return F.ceil((F.col(size) if isinstance(size, str) else size) / block).cast("int")
+
+
+def _likely_edges(met: DataFrame, classes: DataFrame, near, block: int) -> DataFrame:
+    """Edges (a, b) that connect what the likely pairs of each band connect; met: key, band, g, classes: key, sig, n.
+
+    Each block of a band meets itself, and its members are one row each. What that connects, over
+    all bands, need not meet again: of a band of several blocks only the classes outside the component that has
+    most of it, the rest, meet all others. So a group of near copies costs a row per class, and
+    blocks meet two by two only among classes that are not connected yet."""
+    cols = ["key", "sig", "n"]
+    own = met.join(classes, "key").withColumn("block", _block(_blocks("g", block))).select("band", F.col("block").alias("lo"), F.col("block").alias("hi"), "block", *cols)
+    edges = written(_dealt(own, "band").mapInArrow(near, "a binary, b binary"), "likely")
+    hot = met.filter(F.col("g") > block)
+    if hot.isEmpty():
+        return edges
+    known = written(components(edges, "blocks"), "connected")
+    hot = hot.join(classes, "key").join(known.withColumnRenamed("node", "key"), "key", "left")
+    hot = written(hot.select("band", "g", *cols, F.coalesce("root", "key").alias("root")), "hot")
+    most = hot.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max(F.struct("m", "root")).alias("most"))
+    apart = hot.join(most, "band").filter(F.col("most.m") < F.col("g"))
+    n_rest, n_most = _blocks(F.col("g") - F.col("most.m"), block), _blocks("most.m", block)
+    apart = apart.select("band", *cols, (F.col("root") == F.col("most.root")).alias("_most"), n_rest.alias("_rest"), n_most.alias("_mosts"))
+    at = F.when(F.col("_most"), F.col("_rest") + _block(F.col("_mosts"))).otherwise(_block(F.col("_rest")))
+    others = F.sequence(F.lit(0), F.col("_rest") - 1 + F.when(F.col("_most"), 0).otherwise(F.col("_mosts")))
+    more = written(_meetings(apart, "band", at, others, *cols).mapInArrow(near, "a binary, b binary"), "rest")
+    return known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+
+
 def similar(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id, class_size, n_links, n_linked_docs, cluster_id of every row."""
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
@@ -344,8 +384,7 @@ def similar(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tol
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("g"), *set_of).filter("g > 1")
     shared = written(shared.groupBy("g", "s1", "s2").agg(F.min("band").alias("band")).select("band", "g"), "bands")
     met = written(banded.join(shared, "band"), "banded")
-    likely = _meetings(met.join(classes.select("key", "sig", "n"), "key"), "band", F.ceil(F.col("g") / block).cast("int"), "key", "sig", "n")
-    edges = written(likely.mapInArrow(_near(threshold, tolerance), "a binary, b binary"), "likely")
+    edges = _likely_edges(met, classes.select("key", "sig", "n"), _near(threshold, tolerance), block)
     near = written(components(edges, "candidates"), "near")
     # what is smaller than a block is one block, whatever its size
     sizes = written(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block), "sizes")
@@ -355,7 +394,8 @@ def similar(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD, tol
     # by shuffle at every size: who grows with the documents
     met = rows.join(who.hint("merge"), rows["doc_id"].eqNullSafe(who["class_id"])).select("comp", "key", "class_size", "size", "sig", "text")
     members = met.mapInArrow(_members(n), "comp binary, key binary, class_size long, size long, sig binary, shingles binary")
-    dealt = _meetings(members, "comp", F.ceil(F.col("size") / block).cast("int"), "key", "class_size", "sig", "shingles")
+    blocks = _blocks("size", block)
+    dealt = _meetings(members, "comp", _block(blocks), F.sequence(F.lit(0), blocks - 1), "key", "class_size", "sig", "shingles")
     found = written(dealt.mapInArrow(_compare(threshold, tolerance), "key binary, other binary, links long, docs long"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
     joined = components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")), "clusters")
