@@ -17,6 +17,28 @@ def test_ids_are_the_tokenizers():
         assert np.frombuffer(own(t.encode()), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_plain_words_are_told_without_patterns(monkeypatch):
+    """And every Latin-1 character is as in the tokenizer."""
+    whole, own = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    words = [w for c in map(chr, range(1, 256)) for w in (c, f"Ab{c}d", f"{c}É,", f"x{c}?!", f",{c}z", f"ñ{c}漢")]
+    for t in [" ".join(words), *words]:
+        assert np.frombuffer(own(t.encode()), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    for name in ("PLAIN", "PLAIN_ASCII"):
+        if hasattr(getattr(packing, name, None), "fullmatch"):
+            monkeypatch.setattr(packing, name, None)
+    t = "Plain, words. naïve cafés?! Straße ÀÉÎ;"
+    assert np.frombuffer(packing.Encoder(PATH)(t.encode()), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_words_are_remembered_without_capitals_and_single_marks():
+    whole, own = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    for t in ["One, two. ONE two, one. Two", "It's, 3, a.b. c , . d", "x.. y, z", "x!, y. z", "(x). y", "A, <|ENDOFTEXT|> <|endoftext|>, b", "\x1f, a. \x00. b, ", "don'T, I'LL. 'S, "]:
+        assert np.frombuffer(own(t.encode()), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    own = packing.Encoder(PATH)
+    own(b"One, two. ONE two, one. Two")
+    assert sorted(own.words) == [b",", b".", b"one", b"two"]
+
+
 def check(rows, docs, sequence=2048):
     whole = Tokenizer.from_file(PATH)
     ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 1] for i, t, _ in docs}

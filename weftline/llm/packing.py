@@ -31,6 +31,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,13 @@ MAX_QUEUES = 256
 #: Longer texts are split into so many words at a time.
 BYTES_AT_ONCE = 1_000_000
 LONG = re.compile(rb"(?:[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*){1,50000}")
-PLAIN_ASCII = re.compile(rb"([A-Za-z]+)([.,;:!?*$%#&]*)")
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%#&]*)")
+MARKS = b".,;:!?*$%#&"
+#: Letters of Latin-1 that stand alone in the tokenizer's patterns and have their lower case there.
+PLAIN = "".join(c for c in map(chr, range(256)) if re.match("[A-Za-zÀ-ÖØ-öø-ÿ]", c)).encode("latin-1")
+LOWER = bytes(range(256)).decode("latin-1").translate({b: chr(b).lower() for b in PLAIN}).encode("latin-1")
+ID = attrgetter("id")
+#: Letters, digits and white space, full stops and commas, and what else ASCII has.
+KINDS = bytes(ord("a") if chr(b).isalnum() or b in b" \t\n\x0b\x0c\r" else ord(".") if b in b".," else ord("!") for b in range(128)) + b"!" * 128
 
 
 def byte_level() -> dict[int, str]:
@@ -73,29 +79,35 @@ class Encoder:
         if self.whole.get_vocab_size() > 65_536:
             raise ValueError("ids must fit in 16 bits")
         self.model, self.level = self.whole.model, byte_level()
+        self.marked = all("<" in t.content for t in self.whole.get_added_tokens_decoder().values())
         self.units = Memo(self._unit, 200_000)
         self.words = Memo(self._word, 300_000)
 
     def _unit(self, unit: bytes) -> bytes:
         mapped = unit.decode() if unit.isascii() else "".join(map(self.level.__getitem__, unit))
-        ids = [x.id for x in self.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}H", *ids)
+        found = self.model.tokenize(mapped)
+        return struct.pack(f"<{len(found)}H", *map(ID, found))
 
     def _word(self, raw: bytes) -> bytes:
-        if m := PLAIN_ASCII.fullmatch(raw):
-            letters, marks = m.groups()
+        letters = raw.rstrip(MARKS)
+        if letters.isalpha():  # of bytes: A-Z and a-z only
             ids = self.units[letters.lower()]
-            return ids + self.units[marks] if marks else ids
-        word = raw.decode()
-        if m := PLAIN.fullmatch(word):
-            letters, marks = m.groups()
-            return self.units[letters.lower().encode()] + (self.units[marks.encode()] if marks else b"")
-        ids = self.whole.encode(word, add_special_tokens=False).ids
+            return ids if len(letters) == len(raw) else ids + self.units[raw[len(letters) :]]
+        latin = letters.decode().encode("latin-1", "replace")
+        if latin and not latin.translate(None, PLAIN):
+            ids = self.units[latin.translate(LOWER).decode("latin-1").encode()]
+            return ids if len(letters) == len(raw) else ids + self.units[raw[len(letters) :]]
+        ids = self.whole.encode(raw.decode(), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}H", *ids)
 
     def __call__(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text; bytes split at ASCII white space only."""
         if len(text) <= BYTES_AT_ONCE:
+            if self.marked and text.isascii() and b"<" not in text:
+                kinds = text.translate(KINDS)
+                text = text.lower()
+                if b".." not in kinds and b"!." not in kinds:  # each such mark is a pre-token: words are remembered without it
+                    text = text.replace(b", ", b" , ").replace(b". ", b" . ")
             return b"".join(map(self.words.__getitem__, text.split()))
         return b"".join(b"".join(map(self.words.__getitem__, m[0].split())) for m in LONG.finditer(text))
 
